@@ -33,6 +33,21 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most 1,000 rows and 4 MB, unless the session has sizes of its own.
+
+    Texts may be long, and an executor holds several copies of a batch for each running task.
+    """
+    for key, value in (("maxRecordsPerBatch", "1000"), ("maxBytesPerBatch", str(4 << 20))):
+        if spark.conf.get(f"spark.sql.execution.arrow.{key}", None) is None:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", value)
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    small_batches(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 class Written:
     """A table written to the shared folder, which cuts the lineage: a lost executor costs its running tasks only."""
 
@@ -55,14 +70,14 @@ def remainder(doc_id: Column) -> Column:
 
 
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` of a batch function that ``make`` builds once for each task, in the worker."""
+    """``map_arrow`` of a batch function that ``make`` builds once for each task, in the worker."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
             yield work(batch)
 
-    return df.mapInArrow(run, schema)
+    return map_arrow(df, run, schema)
 
 
 def utf8(column: pa.Array) -> list[bytes | None]:

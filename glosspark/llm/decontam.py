@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glosspark.llm.common import Written, map_batches, utf8
+from glosspark.llm.common import Written, map_arrow, map_batches, utf8
 
 WINDOW, SHINGLE = 10, 5
 BLOCK_BYTES = 16 << 20
@@ -132,7 +132,7 @@ def shingle_counts(docs: DataFrame, items: list[tuple[int, bytes]], window: int,
                 windows.count(words_of(raw), into)
         yield pa.RecordBatch.from_arrays([pa.array([b" ".join(k) for k in into], pa.binary()), pa.array(list(into.values()), pa.int64())], names=["s", "n"])
 
-    rows = docs.select("text").mapInArrow(run, "s binary, n bigint").groupBy("s").agg(F.sum("n").alias("n")).collect()
+    rows = map_arrow(docs.select("text"), run, "s binary, n bigint").groupBy("s").agg(F.sum("n").alias("n")).collect()
     return {tuple(bytes(r[0]).split(b" ")): r[1] for r in rows}
 
 
@@ -196,7 +196,7 @@ def reject_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", w
             for b in batches:
                 yield b.filter(pa.array([not windows.match(words_of(raw))[0] for raw in utf8(b.column(names.index(text)))], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = map_arrow(docs, run, docs.schema)
     return docs
 
 

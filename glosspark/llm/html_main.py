@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glosspark.llm.common import Written, utf8
+from glosspark.llm.common import Written, map_arrow, utf8
 
 #: Share of a host's pages that a valid class must support, and of varying text that the main slot must hold.
 SUPPORT, MASS = 0.5, 0.8
@@ -187,7 +187,7 @@ def token_vectors(pages: DataFrame) -> DataFrame:
         yield from flush()
 
     marked = pages.select("host", F.xxhash64("page_id", "url").alias("mark"), "html")
-    part = marked.mapInArrow(run, "host string, path string, block bigint, df bigint, n bigint, sketch bigint, chars bigint")
+    part = map_arrow(marked, run, "host string, path string, block bigint, df bigint, n bigint, sketch bigint, chars bigint")
     # sums modulo 2^64, which a long cannot overflow to: by halves
     low, high = F.sum(F.col("sketch").bitwiseAND(F.lit(0xFFFFFFFF))).cast("decimal(38,0)"), F.sum(F.shiftright("sketch", 32)).cast("decimal(38,0)")
     wrapped = F.pmod(low + high * F.expr("4294967296BD"), F.expr("18446744073709551616BD"))
@@ -299,4 +299,4 @@ def extract_main(pages: DataFrame, page_id: str = "page_id", url: str = "url", h
             texts = [main_text(raw.decode(), *plan) if raw else "" for raw, plan in zip(utf8(batch.column("html")), plans)]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
-    return joined_rows.mapInArrow(run, f"page_id {kind}, url string, text string")
+    return map_arrow(joined_rows, run, f"page_id {kind}, url string, text string")

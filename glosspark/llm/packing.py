@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glosspark.llm.common import utf8
+from glosspark.llm.common import map_arrow, utf8
 from glosspark.llm.token_counts import model_path
 
 MODEL = "word_bpe_49k.json"
@@ -214,4 +214,4 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: str
         if packer.closed:
             yield out()
 
-    return picked.mapInArrow(run, SCHEMA.format(id=kind))
+    return map_arrow(picked, run, SCHEMA.format(id=kind))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glosspark.llm.common import map_batches, utf8
+from glosspark.llm.common import map_arrow, map_batches, utf8
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
@@ -223,7 +223,7 @@ def mask(docs: DataFrame, text: str = "text", n_chars: str | None = "n_chars") -
             cols[at] = pa.array([masked(raw) for raw in utf8(cols[at])], cols[at].type)
             yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names)
 
-    out = docs.mapInArrow(run, docs.schema)
+    out = map_arrow(docs, run, docs.schema)
     if n_chars in names:
         out = out.withColumn(n_chars, F.length(text).cast(docs.schema[n_chars].dataType))
     return out

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glosspark.llm.common import Written, map_batches, remainder, utf8
+from glosspark.llm.common import Written, map_arrow, map_batches, remainder, utf8
 from glosspark.llm.learning import training_rows
 
 #: At most so many labelled rows are learned from, with so many chunks of each for the filters.
@@ -171,7 +171,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Net
             got = [sample_chunks(raw) for raw in utf8(b.column("text"))]
             yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.binary()), pa.array([g[1] for g in got], pa.list_(pa.float64())), b.column("y"), b.column("doc_id").cast(pa.int64())], names=["c", "r", "y", "i"])
 
-    got = written.df.select("doc_id", "text", "y").mapInArrow(cut, "c binary, r array<double>, y int, i bigint").toArrow().sort_by("i")
+    got = map_arrow(written.df.select("doc_id", "text", "y"), cut, "c binary, r array<double>, y int, i bigint").toArrow().sort_by("i")
     chunks = [np.frombuffer(c, np.uint8).reshape(-1, SPAN) for c in got.column("c").to_pylist()]
     net = train(chunks, [np.array(r) for r in got.column("r").to_pylist()], got.column("y").to_numpy().astype(np.float32))
     sent = docs.sparkSession.sparkContext.broadcast(net)
@@ -181,7 +181,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Net
             x = [sent.value.pooled(raw).astype(float) for raw in utf8(b.column("text"))]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), b.column("y")], names=["x", "y"])
 
-    got = written.df.select("text", "y").mapInArrow(pool, "x array<double>, y int").toArrow()
+    got = map_arrow(written.df.select("text", "y"), pool, "x array<double>, y int").toArrow()
     net.last, net.offset = refit(np.array(got.column("x").to_pylist(), float).reshape(-1, 2 * CHANNELS), got.column("y").to_numpy().astype(float))
     written.drop()
     return net

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glosspark.llm.common import Written, map_batches, utf8
+from glosspark.llm.common import Written, map_arrow, map_batches, utf8
 
 SEED = 42
 FAN = 8  # members of a node
@@ -249,7 +249,7 @@ def links(fps: DataFrame, n: int, distance: int = 4, node_rows: int = 200_000) -
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(own, root)), pa.array(np.maximum(own, root))], names=["a", "b"])
                 batch = [g]
 
-    return tiled.repartition(parts, "k", "p", "a", "b").mapInArrow(join, "a bigint, b bigint").distinct()
+    return map_arrow(tiled.repartition(parts, "k", "p", "a", "b"), join, "a bigint, b bigint").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

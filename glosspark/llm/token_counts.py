@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glosspark.llm.common import map_batches, utf8
+from glosspark.llm.common import map_arrow, map_batches, utf8
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
@@ -105,7 +105,7 @@ def frequent_table(docs: DataFrame, text: str, model: str, rows: int = TABLE_ROW
         lengths = Lengths(load(model), {})
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.string()), pa.array([lengths[w] for w, _ in top], pa.int32())], names=["w", "n"])
 
-    got = docs.select(F.col(f"`{text}`").cast("string").alias("t")).limit(rows).mapInArrow(count, "w string, n int").limit(size).toArrow()
+    got = map_arrow(docs.select(F.col(f"`{text}`").cast("string").alias("t")).limit(rows), count, "w string, n int").limit(size).toArrow()
     words = got.column("w").to_pylist()
     return zlib.compress("\x00".join(w for w in words if "\x00" not in w).encode() + b"\x01\x00" + ",".join(str(n) for w, n in zip(words, got.column("n").to_pylist()) if "\x00" not in w).encode())
 

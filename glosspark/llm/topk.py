@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from glosspark.llm.common import Written
+from glosspark.llm.common import Written, map_arrow
 
 BLOCK_QUERIES, BATCH_ROWS, SCALE = 2_048, 8_192, 256
 
@@ -122,4 +122,4 @@ def _block(rows: DataFrame, ids: np.ndarray, vectors: list[list[int]], k: int) -
             names=["query_id", "q", "vec_id", "score"],
         )
 
-    return rows.mapInArrow(run, "query_id bigint, q bigint, vec_id bigint, score bigint")
+    return map_arrow(rows, run, "query_id bigint, q bigint, vec_id bigint, score bigint")

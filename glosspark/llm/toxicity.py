@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import math
 import re
+import string
+from array import array
 from collections import Counter
 from dataclasses import dataclass
 
@@ -20,27 +22,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glosspark.llm.common import Written, map_batches, remainder, utf8
+from glosspark.llm.common import Written, map_arrow, map_batches, remainder, utf8
 from glosspark.llm.learning import Isotonic, Trees, training_rows
 from glosspark.llm.pii import LOOK_ALIKES
 
 #: At most so many labelled rows are learned from, and so many lexicon terms kept.
 TRAIN_ROWS, TERMS = 12_000, 4_000
-CACHE_SIZE = 300_000
+CACHE_SIZE = 100_000
 SEEDS = frozenset(
     "idiot idiots moron morons stupid dumb loser losers pathetic scum trash garbage worthless disgusting clown fool ugly jerk bastard imbecile "
     "idiota estúpido estúpida imbécil basura asqueroso dummkopf arschloch trottel abschaum connard imbécile crétin salaud ordure".split()
 )
 SECOND = frozenset("you your yours yourself u ur du dich dir dein deine ihr euch tu te toi ton ta vous votre tú ti tus usted ustedes vosotros".split())
 _EDGE = re.compile(r"^[\W\d_]+|[\W\d_]+$")
-_OUTER = re.compile(r"^[\W_]+|[\s.,;:!?\"')\]}_-]+$")
+_OUTER = re.compile(r"^(?:[^\w$@]|_)+|[\s.,;:!?\"')\]}_-]+$")
 _LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "|": "l", "€": "e"})
 _ALIKE = str.maketrans(LOOK_ALIKES)
 _MASK = re.compile(r"[*#@$%_.-]")
 _STRETCH = re.compile(r"(.)\1{2,}")
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_][ .*_-]){3,}[^\W\d_](?![^\W_])")
+_FOREIGN = re.compile("[\u0250-\uffff]")
 _MIXED = re.compile(r"[^\W\d_][\d@$!*#|]+[^\W\d_]")
-HIT, HIDDEN, YOU, CAPS, MIXED, STRETCHED, SEED, STRONG = (1 << k for k in range(8))
+HIT, HIDDEN, YOU, CAPS, MIXED, STRETCHED, SEED, STRONG, SINGLE, DOTTED = (1 << k for k in range(10))
+_EDGES = string.punctuation.replace("$", "").replace("@", "") + "…“”«»„‘’¡¿–—"
 FEATURES = (
     "words hits hidden strong seeds you near caps mixed stretched spaced any_hits any_strong upper exclaim question punctuation digits accents run".split()
 )
@@ -48,7 +52,9 @@ FEATURES = (
 
 def terms_of(token: str) -> tuple[str, ...]:
     """A word and its beginnings of 4 and 5 letters, marked by a dash."""
-    w = _EDGE.sub("", token).lower()
+    w = token.strip(_EDGES).lower()
+    if not w.isalpha():
+        w = _EDGE.sub("", w)
     return (w, *(w[:k] + "-" for k in (4, 5) if len(w) > k)) if len(w) > 2 else ()
 
 
@@ -59,12 +65,22 @@ class Lexicon:
 
     def __post_init__(self):
         self.by_length: dict[int, list[str]] = {}
-        for w in {*self.weights, *SEEDS}:
-            if not w.endswith("-"):
-                self.by_length.setdefault(len(w), []).append(w)
+        self.words = SEEDS.union(w for w in self.weights if not w.endswith("-"))
+        self.four, self.five = (frozenset(w[:-1] for w in self.weights if w.endswith("-") and len(w) == k + 1) for k in (4, 5))
+        for w in self.words:
+            self.by_length.setdefault(len(w), []).append(w)
+
+    def word(self, w: str) -> str | None:
+        """The term that a lower-case word matches."""
+        if w in self.words:
+            return w
+        if w[:4] in self.four and len(w) > 4:
+            return w[:4] + "-"
+        return w[:5] + "-" if w[:5] in self.five and len(w) > 5 else None
 
     def find(self, token: str) -> str | None:
-        return next((t for t in terms_of(token) if t in self.weights or t in SEEDS), None)
+        w = token.strip(_EDGES).lower()
+        return self.word(w if w.isalpha() else _EDGE.sub("", w))
 
     def hidden(self, token: str) -> str | None:
         """The term that a disguised token stands for."""
@@ -91,17 +107,26 @@ class Flags(dict):
         self.lexicon = lexicon
 
     def __missing__(self, token: str) -> int:
-        found = self.lexicon.find(token)
-        plain = token.isalpha() and token.isascii()
-        shown = found
-        if not found and (not plain or _STRETCH.search(token)):
-            found = self.lexicon.hidden(token)
-        flag = 0
-        if found:
-            flag = HIT | (0 if shown else HIDDEN) | (SEED if found in SEEDS else 0) | (STRONG if found in self.lexicon.strong else 0)
-        core = _EDGE.sub("", token)
-        flag |= (YOU if core.lower() in SECOND else 0) | (CAPS if len(core) > 1 and core.isupper() else 0)
-        flag |= (MIXED if not plain and _MIXED.search(token) else 0) | (STRETCHED if _STRETCH.search(token.lower()) else 0)
+        core = token.strip(_EDGES)
+        low = core.lower()
+        flag = YOU if low in SECOND else 0
+        if len(core) < 2:
+            flag |= SINGLE if core.isalpha() else 0
+        else:
+            flag |= CAPS if core.isupper() else 0
+            found, hidden = self.lexicon.word(low), 0
+            whole = low.isalpha()
+            stretched = _STRETCH.search(low)
+            if not whole:
+                flag |= (MIXED if _MIXED.search(core) else 0) | (DOTTED if _SPACED.search(core) else 0)
+            if stretched:
+                flag |= STRETCHED
+            if not found and (not whole or stretched or _FOREIGN.search(low)):
+                found = self.lexicon.find(token)
+                if not found and (found := self.lexicon.hidden(token)):
+                    hidden = HIDDEN
+            if found:
+                flag |= HIT | hidden | (SEED if found in SEEDS else 0) | (STRONG if found in self.lexicon.strong else 0)
         if len(self) >= CACHE_SIZE:
             self.clear()
         self[token] = flag
@@ -111,7 +136,7 @@ class Flags(dict):
         text = raw.decode() if raw else ""
         words = text.split()
         n = max(len(words), 1)
-        flags = np.frombuffer(bytes(map(self.__getitem__, words)), np.uint8)
+        flags = np.frombuffer(array("H", map(self.__getitem__, words)), np.uint16) if words else np.zeros(0, np.uint16)
         count = lambda bit: float(np.count_nonzero(flags & bit)) if len(flags) else 0.0
         hits, strong = count(HIT), count(STRONG)
         near = 0
@@ -120,7 +145,9 @@ class Flags(dict):
             k = np.searchsorted(you, at)
             gap = np.minimum(np.abs(you[np.minimum(k, you.size - 1)] - at), np.abs(you[np.maximum(k - 1, 0)] - at))
             near = int((gap <= 5).sum())
-        spaced = sum(1 for m in _SPACED.finditer(text) if self.lexicon.find(re.sub(r"[\W_]", "", m[0])))
+        alone = (flags & SINGLE) > 0
+        spelled = (alone[:-3] & alone[1:-2] & alone[2:-1] & alone[3:]).any() or (flags & DOTTED).any()  # worth a look at the text
+        spaced = sum(1 for m in _SPACED.finditer(text) if self.lexicon.find(re.sub(r"[\W_]", "", m[0]))) if spelled else 0
         c = max(len(raw), 1) if raw else 1
         b = np.frombuffer(raw or b"", np.uint8)
         sizes = np.bincount(b, minlength=256) if len(b) else np.zeros(256, int)
@@ -172,7 +199,7 @@ def _features(rows: DataFrame, pick) -> tuple[np.ndarray, np.ndarray, np.ndarray
             x = [flags[f].features(raw) for f, raw in zip(folds, utf8(b.column("text")))]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), b.column("y"), b.column("fold")], names=["x", "y", "fold"])
 
-    got = rows.select("text", "y", "fold").mapInArrow(run, "x array<double>, y int, fold int").toArrow()
+    got = map_arrow(rows.select("text", "y", "fold"), run, "x array<double>, y int, fold int").toArrow()
     return np.array(got.column("x").to_pylist(), float).reshape(-1, len(FEATURES)), got.column("y").to_numpy().astype(float), got.column("fold").to_numpy()
 
 
@@ -182,17 +209,18 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, terms:
     rows = written.df
 
     def count(batches):
-        seen: dict[int, tuple[Counter, Counter]] = {f: (Counter(), Counter()) for f in (0, 1)}
+        sides = [Counter() for _ in range(4)]  # others and toxic of fold 0, then of fold 1
         for b in batches:
             for y, f, text in zip(b.column("y").to_pylist(), b.column("fold").to_pylist(), b.column("text").to_pylist()):
-                seen[f][y].update({t for w in text.split() for t in terms_of(w)})
-        out = [(t, f, c1[t], c0[t]) for f, (c0, c1) in seen.items() for t in {*c0, *c1}]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate((pa.string(), pa.int32(), pa.int64(), pa.int64()))], names=["t", "fold", "a", "b"])
+                sides[2 * f + y].update({t for w in set(text.split()) for t in terms_of(w)})
+        some = list({*sides[1], *sides[3], *sides[0], *sides[2]})
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), *[pa.array([c[t] for t in some], pa.int64()) for c in sides]], names=["t", "b0", "a0", "b1", "a1"])
 
     totals = {r[0]: (r[1], r[2]) for r in rows.groupBy("fold").agg(F.count_if(F.col("y") == 1), F.count_if(F.col("y") == 0)).collect()}
-    seen = rows.select("y", "fold", "text").mapInArrow(count, "t string, fold int, a bigint, b bigint").groupBy("t", "fold").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    ahead = seen.groupBy("t").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where("a >= 3 and b <= a / 2").orderBy(F.desc("a"), "t").limit(terms)
-    found = [tuple(r) for r in seen.join(F.broadcast(ahead.select("t")), "t").select("t", "fold", "a", "b").collect()]
+    counts = map_arrow(rows.select("y", "fold", "text"), count, "t string, b0 bigint, a0 bigint, b1 bigint, a1 bigint")
+    summed = counts.groupBy("t").agg(*[F.sum(c).alias(c) for c in ("b0", "a0", "b1", "a1")]).where("a0 + a1 >= 3 and b0 + b1 <= (a0 + a1) / 2")
+    best = summed.orderBy(F.desc(F.col("a0") + F.col("a1")), "t").limit(terms).collect()
+    found = [(r["t"], f, r[f"a{f}"], r[f"b{f}"]) for r in best for f in (0, 1)]
     across = {f: learn_lexicon(found, totals, (1 - f,)) for f in (0, 1)}
     x, y, fold = _features(rows, across.__getitem__)
     written.drop()
@@ -235,4 +263,4 @@ def reject_toxic(docs: DataFrame, model: Model, threshold: float = 0.5, text: st
             x = np.array([flags.features(raw) for raw in utf8(b.column(names.index(text)))], float).reshape(-1, len(FEATURES))
             yield b.filter(pa.array(sent.value.score(x) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)
