@@ -27,8 +27,8 @@ from glosspark.llm.token_counts import model_path
 
 MODEL = "word_bpe_49k.json"
 WINDOW, END_ID = 4096, 2
-#: Entries of a worker's cache from blank-separated chunk to ids; it starts afresh when full.
-CACHE_SIZE = 250_000
+#: Entries of a worker's cache from blank-separated chunk to ids (some 120 MB); it starts afresh when full.
+CACHE_SIZE = 600_000
 SCHEMA = "doc_id {id}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
@@ -61,7 +61,7 @@ class WordIds(dict):
 
 
 class ChunkIds(dict):
-    """Ids (little-endian uint32 bytes) of a chunk without blanks or newlines.
+    """Ids (little-endian uint32 bytes) of a chunk of UTF-8 without ASCII white space.
 
     The vocabulary's rules never join text across white space, so a document's ids are those of
     its chunks one after another. ``words`` serves printable Latin-1 chunks; others, and special
@@ -69,22 +69,22 @@ class ChunkIds(dict):
     """
 
     def __init__(self, tokenizer, most: int = CACHE_SIZE, by_word: bool = False):
-        super().__init__({"": b""})
-        self.tokenizer, self.most, self.words = tokenizer, most, WordIds(tokenizer.model, most) if by_word else None
+        super().__init__()
+        self.tokenizer, self.most, self.words = tokenizer, most, WordIds(tokenizer.model, most // 2) if by_word else None
 
-    def __missing__(self, chunk: str) -> bytes:
+    def __missing__(self, raw: bytes) -> bytes:
+        chunk = raw.decode()
         if self.words is not None and _LATIN.fullmatch(chunk) and "<|" not in chunk:
             ids = b"".join(map(self.words.__getitem__, _SPLIT.findall(chunk.lower())))
         else:
             ids = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
         if len(self) >= self.most:
             self.clear()
-            self[""] = b""
-        self[chunk] = ids
+        self[raw] = ids
         return ids
 
-    def ids(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+    def ids(self, text: bytes) -> bytes:
+        return b"".join(map(self.__getitem__, text.split()))
 
 
 class Packer:
@@ -206,7 +206,7 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: str
             keys = batch.column("doc_id")
             id_type = keys.type
             for key, raw in zip(keys.to_pylist(), utf8(batch.column("text"))):
-                ids = (ids_of.ids(raw.decode()) if raw else b"") + end
+                ids = (ids_of.ids(raw) if raw else b"") + end
                 packer.add((key, len(ids) // 4), ids)
                 if len(packer.closed) >= 2_000:
                     yield out()
