@@ -16,12 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glosspark.llm.common import map_arrow, map_batches, utf8
+from glosspark.llm.common import map_batches, utf8
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
-#: Rows whose pre-tokens fill tier one, and its size. Both bound the broadcast (under 2 MB).
-TABLE_ROWS, TABLE_SIZE = 2_000, 50_000
+#: Rows whose pre-tokens fill tier one, and its size. Both bound what the driver holds (64 MB) and sends (2 MB).
+TABLE_ROWS, TABLE_SIZE = 1_000, 50_000
 #: Entries of a worker's cache; it starts afresh when full.
 CACHE_SIZE = 250_000
 _RUN = re.compile(" +[^ ]*|[^ ]+")
@@ -91,23 +91,17 @@ def load(model: str):
 
 
 def frequent_table(docs: DataFrame, text: str, model: str, rows: int = TABLE_ROWS, size: int = TABLE_SIZE) -> bytes:
-    """Packed lengths of the ``size`` most frequent pre-tokens among some ``rows`` rows.
+    """Packed lengths of the ``size`` most frequent pre-tokens of the first ``rows`` texts under 64 KB.
 
-    Counted in the tasks that read those rows; which rows these are changes the hit rate only.
+    Taking a few rows reads a few partitions and shuffles nothing. Which rows these are changes
+    the hit rate only: every count comes from the library, here or in a worker.
     """
-
-    def count(batches):
-        c = Counter()
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                c.update(pre_tokens(t or ""))
-        top = c.most_common(size)
-        lengths = Lengths(load(model), {})
-        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.string()), pa.array([lengths[w] for w, _ in top], pa.int32())], names=["w", "n"])
-
-    got = map_arrow(docs.select(F.col(f"`{text}`").cast("string").alias("t")).limit(rows), count, "w string, n int").limit(size).toArrow()
-    words = got.column("w").to_pylist()
-    return zlib.compress("\x00".join(w for w in words if "\x00" not in w).encode() + b"\x01\x00" + ",".join(str(n) for w, n in zip(words, got.column("n").to_pylist()) if "\x00" not in w).encode())
+    c, lengths = Counter(), Lengths(load(model), {}, size)
+    few = docs.select(F.col(f"`{text}`").cast("string").alias("t")).where(F.octet_length("t") < 1 << 16).limit(rows)
+    for t in few.toArrow().column("t").to_pylist():
+        c.update(pre_tokens(t))
+    top = [w for w, _ in c.most_common(size) if "\x00" not in w]
+    return zlib.compress("\x00".join(top).encode() + b"\x01\x00" + ",".join(str(lengths[w]) for w in top).encode())
 
 
 def unpack(blob: bytes) -> dict[str, int]:
