@@ -39,6 +39,7 @@ _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|dis
 _NUMBER = re.compile(r"\d+")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style xmp iframe noembed noframes textarea title noscript".split())
+_UNSEEN = frozenset("script style noscript template title meta link base".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 _CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 _SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("thead", "tbody", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th")}
@@ -79,7 +80,7 @@ def page_blocks(html: str) -> Iterator[tuple[tuple[str, ...], bool, str, bool]]:
         if name is None:
             continue
         name = name.lower()
-        if name not in _INLINE:
+        if name not in _INLINE and name not in _UNSEEN:
             breaks = True
         if m[1]:
             if name in names:
@@ -126,6 +127,14 @@ def joined(runs: list[tuple[str, bool]]) -> str:
     return " ".join(unescape("".join([" " + t if b else t for t, b in runs])).split())
 
 
+def _block_path(path: tuple[str, ...]) -> str:
+    """The path without inline elements at its end: what they hold is part of the block."""
+    k = len(path)
+    while k and path[k - 1].partition(".")[0] in _INLINE:
+        k -= 1
+    return "/".join(path[:k])
+
+
 def _hash(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
@@ -148,7 +157,7 @@ def page_tokens(html: str) -> tuple[dict[str, list[int]], dict[tuple[str, int],
         if not dropped:
             p[1] += len(text)
         if "article" not in name and "main" not in name:
-            opened.setdefault(name, []).append(text)
+            opened.setdefault(_block_path(path), []).append(text)
     for name, texts in opened.items():
         blocks[name, _hash(" ".join("".join(texts).split()))] += 1
     return paths, blocks
@@ -214,7 +223,8 @@ def deduce(tokens: list[tuple[str, int | None, int, int, object, int]], pages: i
     for path in sorted(mass, key=lambda p: (p.count("/"), p)):
         if mass[path] >= MASS * total > 0 and _container(path) and (slot is None or path.startswith(slot + "/")):
             slot = path
-    template = [f"{p} {b}" for members in classes.values() for p, b, _ in members if b is not None and not (slot and (p == slot or p.startswith(slot + "/")) and "article" in slot)]
+    whole = slot is None or slot.rpartition("/")[2] in ("html", "body")  # no element marks the slot off
+    template = [f"{p} {b}" for members in classes.values() for p, b, _ in members if b is not None and (whole or not (p == slot or p.startswith(slot + "/")))]
     return slot, template
 
 
@@ -243,9 +253,9 @@ def main_text(html: str, slot: str | None, template: frozenset[str]) -> str:
     runs = [(path, "/".join(path), dropped, text, b) for path, dropped, text, b in page_blocks(html)]
     if template:
         texts: dict[str, list] = {}
-        for _, name, _, text, _ in runs:
+        for path, name, _, text, _ in runs:
             if "article" not in name and "main" not in name and not text.isspace():
-                texts.setdefault(name, []).append(text)
+                texts.setdefault(_block_path(path), []).append(text)
         constant = {name for name, ts in texts.items() if f"{name} {_hash(' '.join(''.join(ts).split()))}" in template}
     else:
         constant = set()
@@ -253,8 +263,8 @@ def main_text(html: str, slot: str | None, template: frozenset[str]) -> str:
     def cut(inside) -> str:
         out, gap = [], False
         for path, name, dropped, text, b in runs:
-            if dropped or name in constant or not inside(path, name):
-                gap = True
+            if dropped or (constant and _block_path(path) in constant) or not inside(path, name):
+                gap = gap or b
             else:
                 out.append((text, b or gap))
                 gap = False

@@ -38,17 +38,22 @@ LOOK_ALIKES = dict(
     )
 )
 NO_WIDTH = frozenset("­​‌‍⁠﻿")
+#: Endings that a bare "at ... dot" must lead to; those that are common words would catch prose.
+TOP_LEVEL = "com|org|net|edu|gov|info|biz|io|co|ai|app|dev|uk|de|fr|es|pl|nl|ru|cn|jp|br|au|ca|ch|eu|example|test"
 DIGITS = {w: str(n) for n, w in enumerate("zero one two three four five six seven eight nine".split())}
 _WORD = "|".join(DIGITS)
 _SPELLED = re.compile(rf"\b(?:{_WORD})(?:(?:[ \t]*[,-][ \t]*|[ \t]+)(?:{_WORD}|oh))+\b", re.I)
 _BY_DOT = re.compile(rf"\b(?:{_WORD})\b(?=[ \t]+dot[ \t])|(?<=\bdot )(?:{_WORD})\b", re.I)
 _DIGIT_WORD = re.compile(rf"{_WORD}|oh", re.I)
 _PLUS = re.compile(r"\bplus[ \t]+(?=[0-9])", re.I)
-_AT = re.compile(r"[ \t]*[(\[{<][ \t]*(?:at|@)[ \t]*[)\]}>][ \t]*|&#64;|(?<=[A-Za-z0-9])[ \t]+at[ \t]+(?=[A-Za-z0-9-]+(?:[ \t]+dot[ \t]+|[ \t]*[(\[{<][ \t]*(?:dot|\.)[ \t]*[)\]}>][ \t]*)[A-Za-z0-9])", re.I)
-_DOT = re.compile(r"[ \t]*[(\[{<][ \t]*(?:dot|\.)[ \t]*[)\]}>][ \t]*|&#46;|(?<=[A-Za-z0-9])[ \t]+dot[ \t]+(?=[A-Za-z0-9])", re.I)
-_LETTER_DIGIT = re.compile(r"(?<=[0-9])[OoIl](?=[0-9])")
+_BOX_AT, _BOX_DOT = (rf"[ \t]*[(\[{{<][ \t]*(?:{w})[ \t]*[)\]}}>][ \t]*" for w in ("at|@", r"dot|\."))
+_SAID_DOT = rf"(?:[ \t]+dot[ \t]+|{_BOX_DOT})"
+_AT = re.compile(rf"{_BOX_AT}|&#64;|(?<=[A-Za-z0-9])[ \t]+at[ \t]+(?=[A-Za-z0-9-]+(?:{_SAID_DOT}[A-Za-z0-9-]+)*{_SAID_DOT}(?:{TOP_LEVEL})\b)", re.I)
+_DOT = re.compile(rf"{_BOX_DOT}|&#46;|(?<=[A-Za-z0-9])[ \t]+dot[ \t]+(?=[A-Za-z0-9])", re.I)
+_LETTER_DIGIT = re.compile(r"(?<=[0-9])[OoIl]+(?![A-Za-z])|(?<![A-Za-z])[OoIl]+(?=[0-9])|(?<=[0-9][ -])[OoIl]{2,4}(?![A-Za-z])")
+_AS_DIGIT = str.maketrans("OoIl", "0011")
 _BEYOND_LATIN_1 = re.compile(rb"[\xc4-\xff]")
-_HINT = re.compile(rb"dot\b|[(\[{<][ \t]*(?:at|@|\.)[ \t]*[)\]}>]|&#(?:64|46);|\xc2\xad|[0-9][ -]?[OoIl][0-9]", re.I)
+_HINT = re.compile(rb"dot\b|[(\[{<][ \t]*(?:at|@|\.)[ \t]*[)\]}>]|&#(?:64|46);|\xc2\xad|[0-9][ -]?[OoIl]|[OoIl][0-9]", re.I)
 _HINT_SPELLED = re.compile(rf"(?:{_WORD})[ \t,-]+(?:{_WORD}|oh)\b".encode(), re.I)
 
 
@@ -136,7 +141,7 @@ def normalise(text: str) -> Tape:
         tape.rewrite([(i, i + 1, p) for i, c in enumerate(text) if c > "\x7f" and (p := _plain(c)) is not None])
     tape.rewrite(_spelled(tape.text))
     tape.rewrite([(*m.span(), DIGITS[m[0].lower()]) for m in _BY_DOT.finditer(tape.text)])
-    tape.rewrite([(*m.span(), "1" if m[0] in "Il" else "0") for m in _LETTER_DIGIT.finditer(tape.text)])
+    tape.rewrite([(*m.span(), m[0].translate(_AS_DIGIT)) for m in _LETTER_DIGIT.finditer(tape.text)])
     for rule, by in ((_AT, "@"), (_DOT, "."), (_PLUS, "+")):
         tape.rewrite([(*m.span(), by) for m in rule.finditer(tape.text)])
     return tape

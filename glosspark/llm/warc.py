@@ -49,8 +49,9 @@ def resolve_revisits(records: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     best = full.groupBy("url", "ts").agg(F.max_by(kept, "record_id").alias("r"))
     times = best.select("url", "ts", "r").unionByName(asked.where("url is not null and ts is not null").select("url", "ts", F.lit(None).cast(best.schema["r"].dataType).alias("r")))
     times = times.groupBy("url", "ts").agg(F.max_by("r", F.col("r").isNotNull()).alias("r"))
-    ends = times.agg(F.min("ts").alias("t0"), F.max("ts").alias("t1"))
-    placed = times.crossJoin(F.broadcast(ends)).withColumn("b", F.floor((F.col("ts") - F.col("t0")) * buckets / (F.col("t1") - F.col("t0") + 1)).cast("int")).drop("t0", "t1")
+    first, last = rows.agg(F.min("ts"), F.max("ts")).first()
+    width = max(1, -(-((last or 0) - (first or 0) + 1) // buckets))
+    placed = times.withColumn("b", F.floor((F.col("ts") - F.lit(first or 0)) / width).cast("int"))
     ends_of = placed.where("r is not null").groupBy("url", "b").agg(F.max_by("r", "ts").alias("e"))
     carried = placed.select("url", "b").distinct().join(ends_of, ["url", "b"], "left")
     earlier = Window.partitionBy("url").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
