@@ -30,6 +30,8 @@ from glosspark.llm.common import Written, map_arrow, utf8
 
 #: Share of a host's pages that a valid class must support, and of varying text that the main slot must hold.
 SUPPORT, MASS = 0.5, 0.8
+#: Paths on fewer than one in so many pages say nothing of the template; what a host's task holds is bounded by this.
+RARE = 1_000
 #: Templates are broadcast up to this many bytes and joined by host beyond.
 BROADCAST_BYTES = 32 << 20
 
@@ -238,7 +240,7 @@ def templates(pages: DataFrame) -> DataFrame:
     """(host, slot, blocks) of every host with two pages or more."""
     tokens = token_vectors(pages)
     counts = tokens.where("path = '' and block is null").select("host", F.col("df").alias("pages"))
-    valid = tokens.join(counts, "host").where((F.col("pages") >= 2) & ((F.col("block").isNull()) | (F.col("df") >= F.greatest(F.lit(2), F.col("pages") * SUPPORT))))
+    valid = tokens.join(counts, "host").where((F.col("pages") >= 2) & ((F.col("block").isNull() & (F.col("df") * RARE >= F.col("pages"))) | (F.col("df") >= F.greatest(F.lit(2), F.col("pages") * SUPPORT))))
 
     def one(key, held):
         rows = zip(*[held.column(c).to_pylist() for c in ("path", "block", "df", "n", "sketch", "chars")])

@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from glosspark.llm.common import Written, map_arrow, map_batches, utf8
 
 SEED = 42
+#: A fingerprint of more than one in so many rows is hot; there are fewer hot ones than that.
+HOT_SHARE = 200
 FAN = 8  # members of a node
 
 
@@ -283,13 +285,17 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     """
     own = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     marked = Written(fingerprint(own, words=words), "fingerprints").df
-    fps = Written(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct").df
-    found = components(links(fps.select("fp"), fps.count(), distance, node_rows))
+    fps = Written(marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "distinct").df
+    size, total = fps.agg(F.count("*"), F.sum("n")).first()
+    found = components(links(fps.select("fp"), size, distance, node_rows))
     named = found.join(fps, found.node == fps.fp).select("node", "root", "first")
     least = named.groupBy("root").agg(F.min("first").alias("least"))
     linked = named.join(least, "root").select(F.col("node").alias("fp"), "least")
-    classes = fps.join(linked, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
-    return marked.join(classes, "fp").select("doc_id", "fp", "component_id")
+    classes = fps.join(linked, "fp", "left").select("fp", "n", F.coalesce("least", "first").alias("component_id"))
+    # the rows of a frequent fingerprint stay where they are: its class goes to them
+    hot = F.broadcast(classes.where(F.col("n") > (total or 0) / HOT_SHARE).drop("n"))
+    rest = marked.join(hot, "fp", "left_anti").join(classes.drop("n"), "fp")
+    return marked.join(hot, "fp").unionByName(rest).select("doc_id", "fp", "component_id")
 
 
 def fingerprint_hex(fp: str = "fp"):
