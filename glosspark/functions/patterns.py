@@ -96,7 +96,7 @@ MASK_STEPS = (
     ("ID", r"\b(?:PK|FK|ID|MSSV|MSV|STT|NULL|N/A|API|SQL|URL|UUID|DOB|No\.)\b", True),
     ("ID", r"\b(?:N?VARCHAR|CHAR|TEXT|INT|INTEGER|BIGINT|SMALLINT|TINYINT|DATE|DATETIME|TIMESTAMP|BOOLEAN|BOOL|FLOAT|DOUBLE|DECIMAL)\s*(?:\(\s*\d+(?:\s*,\s*\d+)?\s*\))?\b", True),
     ("SYM", r"(\.{2,}|_{2,}|-{2,}|\+{2,})", False),
-    ("GLY", "([-□☐☑✓✔▪▫■●○◦◆◇◻◼◽◾→←↔↦➜➤➔➟➢➣]+)", False),
+    ("GLY", "([\ue000-\uf8ff□☐☑✓✔▪▫■●○◦◆◇◻◼◽◾→←↔↦➜➤➔➟➢➣]+)", False),
 )
 MASK_LEAK = r"(\[\[(?:CODE|ID|SYM|GLY)\d{3}\]\]|__(?:CODE|ID|SYM|GLY)\d{3}__)"
 
@@ -114,4 +114,4 @@ TONE_VOWELS = "àáảãạăắằẳẵặâấầẩẫậèéẻẽẹêế
 ALL_VOWELS = "aăâeêioôơuưyAĂÂEÊIOÔƠUƯY" + TONE_VOWELS
 INITIALS = "ngh|nh|ng|ch|gh|gi|kh|ph|qu|th|tr|[bcdđghklmnpqrstvx]"
 LETTER_EXTENDED = r"[a-zA-Z\x{C0}-\x{24F}\x{1E00}-\x{1EFF}]"
-SYMBOLS = {"": "+", "": "•", "": "§"}
+SYMBOLS = {"\uf02b": "+", "\uf0b7": "•", "\uf0a7": "§"}
