@@ -37,7 +37,7 @@ LOOK_ALIKES = dict(
         strict=True,
     )
 )
-NO_WIDTH = frozenset("­​‌‍⁠﻿")
+NO_WIDTH = frozenset("\u00ad\u200b\u200c\u200d\u2060\ufeff")
 #: Endings that a bare "at ... dot" must lead to; those that are common words would catch prose.
 TOP_LEVEL = "com|org|net|edu|gov|info|biz|io|co|ai|app|dev|uk|de|fr|es|pl|nl|ru|cn|jp|br|au|ca|ch|eu|example|test"
 DIGITS = {w: str(n) for n, w in enumerate("zero one two three four five six seven eight nine".split())}
