@@ -237,16 +237,17 @@ def text_chunks(c: Column, most: int = 3000) -> Column:
     state = lambda done, cur: F.struct(done.alias("done"), cur.alias("cur"))
     empty = F.array().cast("array<string>")
 
+    def add(a: Column, s: Column) -> Column:
+        fits = F.length(a.cur) + F.length(s) + 1 <= most
+        together = state(a.done, F.when(a.cur != "", F.concat(a.cur, F.lit(" "), s)).otherwise(s))
+        return F.when(fits, together).otherwise(state(F.when(a.cur != "", F.array_append(a.done, a.cur)).otherwise(a.done), s))
+
+    def close(a: Column) -> Column:
+        slices = F.transform(F.sequence(F.lit(0), F.floor((F.length(a.cur) - 1) / most).cast("int")), lambda i: F.substring(a.cur, i * most + 1, F.lit(most)))
+        return F.when(a.cur != "", F.concat(a.done, slices)).otherwise(a.done)
+
     def packed(par: Column) -> Column:
-        sentences = F.split(par, r"(?<=[.!?])\s+")
-        last = F.aggregate(
-            sentences, state(empty, F.lit("")),
-            lambda a, s: F.when(F.length(a.cur) + F.length(s) + 1 <= most, state(a.done, F.when(a.cur != "", strip(F.concat(a.cur, F.lit(" "), s))).otherwise(s))).otherwise(
-                state(F.when(a.cur != "", F.array_append(a.done, a.cur)).otherwise(a.done), s)
-            ),
-        )
-        slices = F.transform(F.sequence(F.lit(0), F.floor((F.length(last.cur) - 1) / most).cast("int")), lambda i: F.substring(last.cur, i * most + 1, F.lit(most)))
-        return F.concat(last.done, F.when(last.cur != "", slices).otherwise(empty))
+        return F.aggregate(F.split(par, r"(?<=[.!?])\s+"), state(empty, F.lit("")), add, close)
 
     return F.flatten(F.transform(paragraphs, lambda par: F.when(F.length(par) <= most, F.array(par)).otherwise(packed(par))))
 
