@@ -284,11 +284,6 @@ def profile_leader(c: Column) -> Column:
     return F.when(skip, raw).otherwise(F.concat(F.initcap(F.lower(F.regexp_extract(core, pattern, 2))), F.lit(":\t"), value))
 
 
-def font_family(c: Column) -> Column:
-    """A font's name without subset tag, style words and punctuation, in lower case."""
-    return F.regexp_replace(F.lower(F.regexp_replace(text_of(c), r"^[A-Z]{6}\+", "")), r"[^a-z0-9]|bold|italic|oblique|regular|mt$|ps", "")
-
-
 def token_budget(chars: Column, context: Column, default: int = 900) -> Column:
     """Output tokens to ask for: 64 to 2048, and for inline and batch work 2048 or 3072 to 4096."""
     floor = F.when(context == "document_pdf_run_batch", 3072).when(context == "document_pdf_adjacent_inline", 2048).otherwise(64)
