@@ -40,21 +40,40 @@ LOOK_ALIKES = dict(
 NO_WIDTH = frozenset("\u00ad\u200b\u200c\u200d\u2060\ufeff")
 #: Endings that a bare "at ... dot" must lead to; those that are common words would catch prose.
 TOP_LEVEL = "com|org|net|edu|gov|info|biz|io|co|ai|app|dev|uk|de|fr|es|pl|nl|ru|cn|jp|br|au|ca|ch|eu|example|test"
-DIGITS = {w: str(n) for n, w in enumerate("zero one two three four five six seven eight nine".split())}
-_WORD = "|".join(DIGITS)
-_SPELLED = re.compile(rf"\b(?:{_WORD})(?:(?:[ \t]*[,-][ \t]*|[ \t]+)(?:{_WORD}|oh))+\b", re.I)
-_BY_DOT = re.compile(rf"\b(?:{_WORD})\b(?=[ \t]+dot[ \t])|(?<=\bdot )(?:{_WORD})\b", re.I)
-_DIGIT_WORD = re.compile(rf"{_WORD}|oh", re.I)
+#: Spelled digits: English, German, French, Spanish.
+DIGITS = {
+    w: str(n)
+    for words in (
+        "zero one two three four five six seven eight nine", "null eins zwei drei vier fünf sechs sieben acht neun",
+        "zéro un deux trois quatre cinq six sept huit neuf", "cero uno dos tres cuatro cinco seis siete ocho nueve",
+    )
+    for n, w in enumerate(words.split())
+}
+AT_WORDS, DOT_WORDS = "at|arroba|arobase", "dot|punto|point|punkt"
+_WORD = "|".join(sorted(DIGITS, key=len, reverse=True))
+_SPELLED = re.compile(rf"\b(?:{_WORD})(?:(?:[ \t]*[,-][ \t]*|[ \t]+)(?:{_WORD}|oh)\b)+", re.I)
+_BY_DOT = re.compile(rf"\b(?:{_WORD})\b(?=[ \t]+(?:{DOT_WORDS})[ \t])|(?<=\bdot )(?:{_WORD})\b", re.I)
+_DIGIT_WORD = re.compile(rf"\b(?:{_WORD}|oh)\b", re.I)
 _PLUS = re.compile(r"\bplus[ \t]+(?=[0-9])", re.I)
-_BOX_AT, _BOX_DOT = (rf"[ \t]*[(\[{{<][ \t]*(?:{w})[ \t]*[)\]}}>][ \t]*" for w in ("at|@", r"dot|\."))
-_SAID_DOT = rf"(?:[ \t]+dot[ \t]+|{_BOX_DOT})"
-_AT = re.compile(rf"{_BOX_AT}|&#64;|(?<=[A-Za-z0-9])[ \t]+at[ \t]+(?=[A-Za-z0-9-]+(?:{_SAID_DOT}[A-Za-z0-9-]+)*{_SAID_DOT}(?:{TOP_LEVEL})\b)", re.I)
-_DOT = re.compile(rf"{_BOX_DOT}|&#46;|(?<=[A-Za-z0-9])[ \t]+dot[ \t]+(?=[A-Za-z0-9])", re.I)
+_GAP = r"(?:[ \t]+|_|-)"
+_BOX_AT, _BOX_DOT = (rf"[ \t]*[(\[{{<][ \t]*(?:{w})[ \t]*[)\]}}>][ \t]*" for w in (f"{AT_WORDS}|@", rf"{DOT_WORDS}|\."))
+_SAID_DOT = rf"(?:{_GAP}(?:{DOT_WORDS}){_GAP}|{_BOX_DOT})"
+_AT = re.compile(
+    rf"{_BOX_AT}|&#64;|(?<=[A-Za-z0-9])[ \t]+@[ \t]*(?=[A-Za-z0-9])|(?<=[A-Za-z0-9])@[ \t]+(?=[A-Za-z0-9])"
+    rf"|(?<=[A-Za-z0-9]){_GAP}(?:{AT_WORDS}){_GAP}(?=[A-Za-z0-9]+(?:{_SAID_DOT}[A-Za-z0-9]+)*{_SAID_DOT}(?:{TOP_LEVEL})\b)", re.I,
+)
+_DOT = re.compile(rf"{_BOX_DOT}|&#46;|(?<=[A-Za-z0-9]){_GAP}(?:{DOT_WORDS}){_GAP}(?=[A-Za-z0-9])|(?<=[A-Za-z0-9])[ \t]+\.[ \t]+(?=[A-Za-z0-9])", re.I)
 _LETTER_DIGIT = re.compile(r"(?<=[0-9])[OoIl]+(?![A-Za-z])|(?<![A-Za-z])[OoIl]+(?=[0-9])|(?<=[0-9][ -])[OoIl]{2,4}(?![A-Za-z])")
 _AS_DIGIT = str.maketrans("OoIl", "0011")
+# A cheap look at the bytes for anything that a transducer would rewrite.
 _BEYOND_LATIN_1 = re.compile(rb"[\xc4-\xff]")
-_HINT = re.compile(rb"dot\b|[(\[{<][ \t]*(?:at|@|\.)[ \t]*[)\]}>]|&#(?:64|46);|\xc2\xad|[0-9][ -]?[OoIl]|[OoIl][0-9]", re.I)
+_HINT_WORDS = tuple(w.encode() for w in DOT_WORDS.split("|"))
+_HINT_BOX = re.compile(rf"[(\[{{<][ \t]*(?:{AT_WORDS}|{DOT_WORDS}|@|\.)[ \t]*[)\]}}>]|&#(?:64|46);".encode(), re.I)
+_HINT_AT, _HINT_DOT = re.compile(rb"[ \t]@|@[ \t]"), re.compile(rb"[ \t]\.[ \t]")
+_HINT_DIGIT = re.compile(rb"[0-9][ -]?[OoIl]|[OoIl][0-9]")
 _HINT_SPELLED = re.compile(rf"(?:{_WORD})[ \t,-]+(?:{_WORD}|oh)\b".encode(), re.I)
+_DIGIT_WORDS = frozenset(w.encode() for w in DIGITS)
+_PARTED = bytes.maketrans(b",-.;:", b"     ")
 
 
 def luhn(digits: str) -> bool:
@@ -148,8 +167,19 @@ def normalise(text: str) -> Tape:
 
 
 def disguised(raw: bytes) -> bool:
-    """Whether the text holds anything that a transducer would rewrite; a cheap look at its bytes."""
-    return bool((not raw.isascii() and _BEYOND_LATIN_1.search(raw)) or _HINT.search(raw) or _HINT_SPELLED.search(raw))
+    """Whether the text holds anything that a transducer would rewrite."""
+    if not raw.isascii() and (b"\xc2\xad" in raw or _BEYOND_LATIN_1.search(raw)):
+        return True
+    low = raw.lower()
+    if any(w in low for w in _HINT_WORDS) and _DOT.search(raw.decode()):
+        return True
+    if any(c in raw for c in (b"(", b"[", b"{", b"<", b"&#")) and _HINT_BOX.search(raw):
+        return True
+    if (b"@" in raw and _HINT_AT.search(raw)) or (b" . " in raw and _HINT_DOT.search(raw)):
+        return True
+    if len(raw.translate(None, b"0123456789")) < len(raw) and _HINT_DIGIT.search(raw):
+        return True
+    return not _DIGIT_WORDS.isdisjoint(low.translate(_PARTED).split()) and bool(_HINT_SPELLED.search(raw))
 
 
 def find(raw: bytes | None) -> list[tuple[int, int, int, bool]]:
