@@ -5,8 +5,8 @@ from pyspark.sql import functions as F
 from glosspark.functions import patterns as p
 from glosspark.functions import text as t
 from glosspark.operators import layout as lay
-from glosspark.operators import masking, segments, sequential as seq, translate as tr
-from glosspark.plans.layout import _PAGES, boxes
+from glosspark.operators import masking, ocr, segments, sequential as seq, translate as tr
+from glosspark.plans.layout import _OCR_LINES, _PAGES, boxes, words
 from glosspark.plans.segments import _CORE, _LINES, _NONSEM, _case, _q, made_lines, strip_sql
 from glosspark.registry import query
 from glosspark.sources import files, html, office
@@ -133,6 +133,15 @@ def patched_members(spark, sf_dir):
     return out.select(F.substring("path", 4, 20).cast("bigint").alias("doc_id"), "member", F.when(F.length("data") == 3, 3).otherwise(-1).alias("size"))
 
 
+@query("docx_fallback", "K3", "SELECT 'in/' || doc_id || CASE WHEN doc_id % 3 = 0 THEN '.txt' ELSE '.docx' END AS path, doc_id % 3 <> 0 AS word FROM documents")
+def docx_fallback(spark, sf_dir):
+    made = _office(spark, sf_dir, office.docx_of).withColumn("path", F.concat("path", F.lit(".docx")))
+    broken = F.substring("path", 4, 20).substr(F.lit(1), F.length("path") - 8).cast("bigint") % 3 == 0
+    rows = made.withColumn("content", F.when(broken, F.lit("gone").cast("binary")).otherwise(F.col("content")))
+    out = office.with_fallback(rows, rows.select("path", F.lit("text").alias("text")))
+    return out.select("path", office.valid_docx("content").alias("word"))
+
+
 _PAGE = "concat('{\"blocks\":[{\"type\":0,\"lines\":[{\"bbox\":[1.5,2,30,4],\"spans\":[{\"text\":\"ab\",\"font\":\"Arial-BoldMT\",\"size\":9,\"flags\":0,\"color\":5},{\"text\":\"cde', CAST(doc_id AS VARCHAR(20)), '\",\"font\":\"Arial\",\"size\":', CAST(doc_id % 9 + 4 AS VARCHAR(20)), ',\"flags\":2,\"color\":7}]}]},{\"type\":1}]}')"
 
 
@@ -217,3 +226,11 @@ def logical_lines(spark, sf_dir):
     text = F.when(F.col("line_no") % 6 == 5, "\n").when(F.col("line_no") % 6 == 2, "\t").otherwise(F.col("line"))
     runs = made_lines(spark, sf_dir).select("doc_id", F.lit(0).alias("para_no"), F.col("line_no").alias("run_no"), text.alias("text"))
     return lay.logical_lines(runs).select("doc_id", "run_no", "line_no")
+
+
+@query("overlay_blocks", "D10 X5", _OCR_LINES + f""", o AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY top, "left", text) - 1 AS seq FROM ol),
+t AS (SELECT image_id, seq, "left", text AS line FROM o)
+SELECT image_id, CAST(seq AS INTEGER) AS seq, "left" / 400.0 AS x, {_SAID} AS translated_text FROM t WHERE NOT regexp_matches(line, '\\.{{5,}}|_{{4,}}|-{{4,}}')""")
+def overlay_blocks(spark, sf_dir):
+    out = ocr.overlay_blocks(ocr.words_to_lines(words(spark, sf_dir)), 400.0, 400.0, "vi")
+    return out.where(~F.col("original_text").rlike(p.LEADER_IMAGE)).select("image_id", "seq", F.col("position.bbox_norm")[0].alias("x"), "translated_text")
