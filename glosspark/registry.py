@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from glosspark.session import reach
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -16,7 +19,12 @@ def query(name: str, ops: str, sql: str | None = None) -> Callable[[Query], Quer
     """Register a query under ``name`` with the ids of the operators it shows."""
 
     def keep(f: Query) -> Query:
-        QUERIES[name], OPERATORS[name] = f, tuple(ops.split())
+        @wraps(f)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            reach(spark)
+            return f(spark, sf_dir)
+
+        QUERIES[name], OPERATORS[name] = run, tuple(ops.split())
         if sql is not None:
             ORACLE_SQL[name] = sql
         return f
