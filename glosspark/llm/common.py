@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -10,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glosspark.session import reach
+
 #: Labels of these remainders of crc32(doc_id) mod 5 may be learned from; remainder 0 is held out.
 TRAIN_REMAINDERS = (1, 2, 3, 4)
 
@@ -28,7 +32,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         if not sc.master.startswith("local[") and sc.master != "local":
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+        folder = tempfile.mkdtemp(prefix="spark-shared-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        found = f"file://{folder}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
@@ -38,6 +44,7 @@ def small_batches(spark: SparkSession) -> None:
 
     Texts may be long, and an executor holds several copies of a batch for each running task.
     """
+    reach(spark)
     for key, value in (("maxRecordsPerBatch", "1000"), ("maxBytesPerBatch", str(4 << 20))):
         if spark.conf.get(f"spark.sql.execution.arrow.{key}", None) is None:
             spark.conf.set(f"spark.sql.execution.arrow.{key}", value)

@@ -238,7 +238,7 @@ def _container(path: str) -> bool:
 
 def templates(pages: DataFrame) -> DataFrame:
     """(host, slot, blocks) of every host with two pages or more."""
-    tokens = token_vectors(pages)
+    tokens = Written(token_vectors(pages), "tokens").df  # read twice
     counts = tokens.where("path = '' and block is null").select("host", F.col("df").alias("pages"))
     valid = tokens.join(counts, "host").where((F.col("pages") >= 2) & ((F.col("block").isNull() & (F.col("df") * RARE >= F.col("pages"))) | (F.col("df") >= F.greatest(F.lit(2), F.col("pages") * SUPPORT))))
 

@@ -29,6 +29,7 @@ from glosspark.llm.pii import LOOK_ALIKES
 #: At most so many labelled rows are learned from, and so many lexicon terms kept.
 TRAIN_ROWS, TERMS = 12_000, 4_000
 CACHE_SIZE = 100_000
+STEMS = (4, 5, 6, 7)
 SEEDS = frozenset(
     "idiot idiots moron morons stupid dumb loser losers pathetic scum trash garbage worthless disgusting clown fool ugly jerk bastard imbecile "
     "idiota estúpido estúpida imbécil basura asqueroso dummkopf arschloch trottel abschaum connard imbécile crétin salaud ordure".split()
@@ -51,11 +52,11 @@ FEATURES = (
 
 
 def terms_of(token: str) -> tuple[str, ...]:
-    """A word and its beginnings of 4 and 5 letters, marked by a dash."""
+    """A word and its beginnings of 4 to 7 letters, marked by a dash."""
     w = token.strip(_EDGES).lower()
     if not w.isalpha():
         w = _EDGE.sub("", w)
-    return (w, *(w[:k] + "-" for k in (4, 5) if len(w) > k)) if len(w) > 2 else ()
+    return (w, *(w[:k] + "-" for k in STEMS if len(w) > k)) if len(w) > 2 else ()
 
 
 @dataclass
@@ -66,7 +67,8 @@ class Lexicon:
     def __post_init__(self):
         self.by_length: dict[int, list[str]] = {}
         self.words = SEEDS.union(w for w in self.weights if not w.endswith("-"))
-        self.four, self.five = (frozenset(w[:-1] for w in self.weights if w.endswith("-") and len(w) == k + 1) for k in (4, 5))
+        stems = {k: frozenset(w[:-1] for w in self.weights if w.endswith("-") and len(w) == k + 1) for k in STEMS}
+        self.stems = [(k, known) for k, known in stems.items() if known]
         for w in self.words:
             self.by_length.setdefault(len(w), []).append(w)
 
@@ -74,9 +76,10 @@ class Lexicon:
         """The term that a lower-case word matches."""
         if w in self.words:
             return w
-        if w[:4] in self.four and len(w) > 4:
-            return w[:4] + "-"
-        return w[:5] + "-" if w[:5] in self.five and len(w) > 5 else None
+        for k, known in self.stems:
+            if w[:k] in known and len(w) > k:
+                return w[:k] + "-"
+        return None
 
     def find(self, token: str) -> str | None:
         w = token.strip(_EDGES).lower()
