@@ -17,6 +17,7 @@ main element if there is one, else the body.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -59,9 +60,9 @@ _ABOUT = re.compile(r"(?:has|no|with|without|hide|show)[-_]|.*[-_]with[-_]")  #
 _ROOTS = ("article", "main")
 
 
-def page_blocks(html: str) -> Iterator[tuple[tuple[str, ...], bool, str, bool]]:
+def page_blocks(html: str, opened: dict[str, list[int]] | None = None) -> Iterator[tuple[tuple[str, ...], bool, str, bool]]:
     """(path, dropped, text, breaks): runs of text with the path of their element; ``dropped`` if it
-    is never main text, ``breaks`` if a block starts before it."""
+    is never main text, ``breaks`` if a block starts before it. ``opened`` counts elements by path."""
     path: list[str] = []
     names: list[str] = []
     drops: list[bool] = []
@@ -118,6 +119,8 @@ def page_blocks(html: str) -> Iterator[tuple[tuple[str, ...], bool, str, bool]]:
             if not stop:
                 return
         names.append(name), path.append(label), drops.append(drop)
+        if opened is not None:
+            opened["/".join(path)][0] += 1
         if name in _RAW:
             close = html.find(">", at)
             names.pop(), path.pop(), drops.pop()
@@ -146,22 +149,20 @@ def _wrap(x: int) -> int:
 
 
 def page_tokens(html: str) -> tuple[dict[str, list[int]], dict[tuple[str, int], int]]:
-    """Of one page: path -> [1 for its presence, characters of varying text], (path, hash of block) -> count."""
-    paths: dict[str, list[int]] = {}
+    """Of one page: path -> [elements, characters of text that may be main], (path, hash of block) -> count."""
+    paths: dict[str, list[int]] = defaultdict(lambda: [0, 0])
     blocks: dict[tuple[str, int], int] = defaultdict(int)
-    opened: dict[str, list] = {}
-    for path, dropped, text, _ in page_blocks(html):
-        name = "/".join(path)
-        p = paths.setdefault(name, [0, 0])
-        p[0] += 1
+    texts: dict[str, list] = {}
+    for path, dropped, text, _ in page_blocks(html, paths):
         if text.isspace():
             continue
-        if not dropped:
-            p[1] += len(text)
+        if not dropped and path:
+            paths["/".join(path)][1] += len(text)
+        name = _block_path(path)
         if "article" not in name and "main" not in name:
-            opened.setdefault(_block_path(path), []).append(text)
-    for name, texts in opened.items():
-        blocks[name, _hash(" ".join("".join(texts).split()))] += 1
+            texts.setdefault(name, []).append(text)
+    for name, runs in texts.items():
+        blocks[name, _hash(" ".join("".join(runs).split()))] += 1
     return paths, blocks
 
 
@@ -187,7 +188,7 @@ def token_vectors(pages: DataFrame) -> DataFrame:
         for batch in batches:
             for host, mark, raw in zip(batch.column("host").to_pylist(), batch.column("mark").to_pylist(), utf8(batch.column("html"))):
                 paths, blocks = page_tokens(raw.decode()) if raw else ({}, {})
-                for key, n, chars in [*(((host, p, None), 1, c[1]) for p, c in paths.items()), *(((host, p, b), n, 0) for (p, b), n in blocks.items()), ((host, "", None), 1, 0)]:
+                for key, n, chars in [*(((host, p, None), *c) for p, c in paths.items()), *(((host, p, b), n, 0) for (p, b), n in blocks.items()), ((host, "", None), 1, 0)]:
                     s = sums.setdefault(key, [0, 0, 0, 0])
                     s[0] += 1
                     s[1] += n
@@ -205,29 +206,52 @@ def token_vectors(pages: DataFrame) -> DataFrame:
     return part.groupBy("host", "path", "block").agg(F.sum("df").alias("df"), F.sum("n").alias("n"), wrapped.alias("sketch"), F.sum("chars").alias("chars"))
 
 
+def nested(tokens: list[tuple[str, int | None, int, int, object, int]], pages: int) -> tuple[frozenset[str], dict[str, list[str]]]:
+    """The skeleton (paths that stand once on every page) and, below each of its paths, the paths of
+    other valid classes that it is the deepest to hold.
+
+    Tokens: (path, block, df, n, sketch, chars). Equal (df, n, sketch) is one occurrence vector, hence
+    one class; the skeleton's is that of the empty path, which every page has once.
+    """
+    classes: dict[tuple, list[str]] = defaultdict(list)
+    top = None
+    for path, block, df, n, sketch, _ in tokens:
+        if block is None:
+            classes[df, n, sketch].append(path)
+            if not path:
+                top = (df, n, sketch)
+    skeleton = frozenset(classes.get(top, ()))
+    below: dict[str, list[str]] = defaultdict(list)
+    for vector, paths in classes.items():
+        if vector != top and vector[0] >= SUPPORT * pages:
+            shared = os.path.commonprefix([p.split("/") for p in paths])
+            while shared and "/".join(shared) not in skeleton:
+                shared.pop()
+            below["/".join(shared)] += paths
+    return skeleton, below
+
+
 def deduce(tokens: list[tuple[str, int | None, int, int, object, int]], pages: int) -> tuple[str | None, list[str]]:
-    """Main slot (a path, or None) and template blocks ('path hash') of one host's valid tokens.
+    """Main slot (a path, or None) and template blocks ('path hash') of one host's tokens.
 
-    Tokens: (path, block, df, n, sketch, chars). The skeleton class is that of the empty path,
-    which every page has once; its members, ordered by depth, nest all other classes.
+    Slots are the elements of the skeleton and, where that leaves none, of nested classes that
+    stand at most once on a page. The main slot is the deepest with enough of the text.
     """
-    classes: dict[tuple, list] = defaultdict(list)
-    for path, block, df, n, sketch, chars in tokens:
-        classes[df, n, sketch].append((path, block, chars))
+    skeleton, below = nested(tokens, pages)
+    single = {p for p, b, df, n, _, _ in tokens if b is None and n == df}
     mass: dict[str, int] = defaultdict(int)  # text below each path
-    for members in classes.values():
-        for path, block, chars in members:
-            parts = path.split("/") if block is None and path else []
-            for k in range(len(parts)):
-                mass["/".join(parts[: k + 1])] += chars
+    for path, block, *_, chars in tokens:
+        parts = path.split("/") if block is None and path else []
+        for k in range(len(parts)):
+            mass["/".join(parts[: k + 1])] += chars
     total = sum(m for p, m in mass.items() if "/" not in p)
     slot = None
-    for path in sorted(mass, key=lambda p: (p.count("/"), p)):
-        if mass[path] >= MASS * total > 0 and _container(path) and (slot is None or path.startswith(slot + "/")):
-            slot = path
+    for allowed in (skeleton, {p for paths in below.values() for p in paths if p in single}):
+        for path in sorted(allowed, key=lambda p: (p.count("/"), p)):
+            if mass.get(path, 0) >= MASS * total > 0 and _container(path) and (slot is None or path.startswith(slot + "/")):
+                slot = path
     whole = slot is None or slot.rpartition("/")[2] in ("html", "body")  # no element marks the slot off
-    template = [f"{p} {b}" for members in classes.values() for p, b, _ in members if b is not None and (whole or not (p == slot or p.startswith(slot + "/")))]
-    return slot, template
+    return slot, [f"{p} {b}" for p, b, *_ in tokens if b is not None and (whole or not (p == slot or p.startswith(slot + "/")))]
 
 
 def _container(path: str) -> bool:

@@ -35,6 +35,16 @@ def test_edges(spark):
     assert h.extract_main(pages(spark, rows).limit(0)).collect() == []
 
 
+def test_classes_nest_in_the_skeleton(spark):
+    rows = [(n, "http://h.example/", f"<body><div class='a'><p>{'x ' * (9 * n)}</p>{'<i>y</i>' * (n % 3 + 1)}</div>{'<div class=b><p>z</p></div>' * (n % 4 > 0)}</body>") for n in range(1, 9)]
+    df = pages(spark, rows).drop("host", "text", "slot", "mark").withColumn("host", h.host_of(h.F.col("url")))
+    tokens = [(r.path, r.block, r.df, r.n, r.sketch, r.chars) for r in h.token_vectors(df).collect()]
+    skeleton, below = h.nested(tokens, 8)
+    assert skeleton == {"", "body", "body/div.a", "body/div.a/p"}
+    assert sorted(below["body"]) == ["body/div.b", "body/div.b/p"] and below["body/div.a"] == ["body/div.a/i"]
+    assert h.deduce(tokens, 8)[0] == "body/div.a"
+
+
 def test_equal_vectors_make_a_class(spark):
     rows = [(n, "http://h.example/", f"<body><div><p>{'x' * n}</p>{'<i>y</i>' * (n % 2)}</div><div class='s'>same</div></body>") for n in range(1, 9)]
     df = pages(spark, rows).drop("host", "text", "slot", "mark").withColumn("host", h.host_of(h.F.col("url")))
