@@ -45,7 +45,7 @@ def translatable(c: Column, least_letters: int = 2, letter: str = r"\pL", skip_v
     or Korean; ``least_letters=0`` is the rule without a count.
     """
     core = strip(c)
-    out = (core != "") & core.rlike(r"[^\d\P{N}]|[\pL]|[\pN&&[^\p{Nd}]]") if least_letters == 0 else (core != "")
+    out = core.rlike(r"[\pL\p{Nl}\p{No}]") if least_letters == 0 else core != ""
     out = out & (letters(core, letter) >= least_letters)
     return out & ~vietnamese(core) if skip_vietnamese else out
 

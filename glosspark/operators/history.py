@@ -158,11 +158,15 @@ def accepted_saves(log: DataFrame, key: tuple[str, ...] = SAVE_KEY, minutes: int
     return log.join(ids, "id", "left_semi").unionByName(keyed.where(F.coalesce(long_text, F.lit(False))).drop("__t"))
 
 
-def recent_duplicate(log: DataFrame, like: dict, now: str, minutes: int = DUPLICATE_MINUTES) -> DataFrame:
-    """The newest stored row equal to ``like`` in the last ``minutes``, if any."""
+def recent_duplicate(log: DataFrame, like: dict, now: str, minutes: int = DUPLICATE_MINUTES, collation: str | None = None) -> DataFrame:
+    """The newest stored row equal to ``like`` in the last ``minutes``, if any.
+
+    Texts are equal byte for byte, or by a ``collation`` such as ``UNICODE_CI_AI_RTRIM``.
+    """
     same = F.lit(True)
     for name, value in like.items():
-        same = same & F.col(name).eqNullSafe(F.lit(value))
+        column = F.collate(F.col(name), collation) if collation and isinstance(value, str) else F.col(name)
+        same = same & column.eqNullSafe(F.lit(value))
     return log.where(same & (F.col("created_at") >= F.lit(now).cast("timestamp") - F.expr(f"INTERVAL {minutes} MINUTES"))).orderBy(F.desc("created_at"), F.desc("id")).limit(1)
 
 

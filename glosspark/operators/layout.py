@@ -35,7 +35,9 @@ def page_stats(lines: DataFrame) -> DataFrame:
 
 def classified(lines: DataFrame, width: float = 595.0, height: float = 842.0) -> DataFrame:
     """Adds layout_type, alignment and indent_level; needs line, font_size, is_bold and is_italic."""
-    rows = lines.join(page_stats(lines), list(PAGE))
+    page = Window.partitionBy(*PAGE)
+    x = F.sort_array(F.collect_list("x0").over(page))
+    rows = lines.withColumns({"median_size": upper_median(F.collect_list("font_size").over(page)), "typical_x0": F.get(x, F.floor(F.size(x) / 4).cast("int"))})
     body, core = F.rtrim("line"), t.strip(F.col("line"))
     align = g.page_alignment(F.col("x0"), F.col("x1"), F.lit(width))
     indent = g.indent_level(F.col("x0"), F.col("typical_x0"))
@@ -56,7 +58,7 @@ def classified(lines: DataFrame, width: float = 595.0, height: float = 842.0) ->
     )
     flat = F.col("layout_type").isin("whitespace", "page_number", "header_footer", "title")
     out = rows.withColumn("layout_type", kind)
-    return out.withColumns({"alignment": F.when(F.col("layout_type") == "whitespace", "left").otherwise(align), "indent_level": F.when(flat, 0).otherwise(indent)}).drop("median_size", "typical_x0", "text_right")
+    return out.withColumns({"alignment": F.when(F.col("layout_type") == "whitespace", "left").otherwise(align), "indent_level": F.when(flat, 0).otherwise(indent)}).drop("median_size", "typical_x0")
 
 
 def line_spacing(lines: DataFrame) -> DataFrame:
@@ -85,23 +87,32 @@ def table_regions(blocks: DataFrame) -> DataFrame:
 
 
 def in_region(lines: DataFrame, regions: DataFrame, slack: float = 5.0) -> DataFrame:
-    """``region_no`` of the first region that holds a line; titles and headers are in none."""
-    r = regions.select(*PAGE, "region_no", *[F.col(e).alias("r" + e) for e in g.EDGES])
-    hold = (F.col("x0") >= F.col("rx0") - slack) & (F.col("y0") >= F.col("ry0") - slack) & (F.col("x1") <= F.col("rx1") + slack) & (F.col("y1") <= F.col("ry1") + slack)
+    """``region_no`` of the first region that holds a line; titles and headers are in none.
+
+    A page's regions come to its lines as one array, so the lines move once and never multiply.
+    """
+    held = F.sort_array(F.collect_list(F.struct("region_no", *g.EDGES)))
+    r = regions.groupBy(*PAGE).agg(held.alias("__regions"))
+    inside = lambda b: (F.col("x0") >= b.x0 - slack) & (F.col("y0") >= b.y0 - slack) & (F.col("x1") <= b.x1 + slack) & (F.col("y1") <= b.y1 + slack)
     free = ~F.col("layout_type").isin("title", "header_footer") if "layout_type" in lines.columns else F.lit(True)
-    found = lines.join(r, list(PAGE)).where(hold & free).groupBy(*PAGE, "seq").agg(F.min("region_no").alias("region_no"))
-    return lines.join(found, [*PAGE, "seq"], "left")
+    first = F.get(F.filter("__regions", inside), F.lit(0)).region_no
+    return lines.join(r, list(PAGE), "left").withColumn("region_no", F.when(free, first)).drop("__regions")
 
 
 def cell_of(lines: DataFrame, cells: DataFrame) -> DataFrame:
     """``cell_no`` of the best cell: the smallest that holds the line's centre, else the one that
     covers most of it, if that is 0.45 at least. Cells under a point wide or high are no cells."""
-    c = cells.where((F.col("x1") - F.col("x0") >= 1) & (F.col("y1") - F.col("y0") >= 1)).select(*PAGE, "cell_no", g.box(*[F.col(e) for e in g.EDGES]).alias("c"))
-    pairs = lines.select(*PAGE, "seq", g.box(*[F.col(e) for e in g.EDGES]).alias("b")).join(c, list(PAGE))
-    holds, ratio = g.centre_in(F.col("b"), F.col("c")), g.overlap_ratio(F.col("b"), F.col("c"))
-    order = F.struct((~holds).cast("int").alias("a"), F.when(holds, g.area(F.col("c"), 1e-6)).otherwise(-ratio).alias("b"), F.col("cell_no").alias("c"))
-    best = pairs.where(holds | (ratio >= 0.45)).groupBy(*PAGE, "seq").agg(F.min_by("cell_no", order).alias("cell_no"))
-    return lines.join(best, [*PAGE, "seq"], "left")
+    c = cells.where((F.col("x1") - F.col("x0") >= 1) & (F.col("y1") - F.col("y0") >= 1))
+    c = c.groupBy(*PAGE).agg(F.collect_list(F.struct("cell_no", *g.EDGES)).alias("__cells"))
+    box = g.box(*[F.col(e) for e in g.EDGES])
+
+    def rank(x: Column) -> Column:
+        holds, ratio = g.centre_in(box, x), g.overlap_ratio(box, x)
+        order = F.struct((~holds).cast("int").alias("a"), F.when(holds, g.area(x, 1e-6)).otherwise(-ratio).alias("b"), x.cell_no.alias("cell_no"))
+        return F.when(holds | (ratio >= 0.45), order)
+
+    best = F.array_min(F.transform("__cells", rank)).cell_no
+    return lines.join(c, list(PAGE), "left").withColumn("cell_no", best).drop("__cells")
 
 
 def right_limits(blocks: DataFrame, page_right: float = 595.0) -> DataFrame:
@@ -110,17 +121,21 @@ def right_limits(blocks: DataFrame, page_right: float = 595.0) -> DataFrame:
     The nearest block beyond its right edge in the same band ends it; the page's text edge does
     otherwise. Needs is_table_cell.
     """
-    edge = blocks.where(~F.col("is_table_cell")).groupBy(*PAGE).agg(F.max("x1").alias("edge"))
-    limit = F.least(F.lit(page_right - 4.0), F.greatest(F.coalesce("edge", F.lit(page_right - 8.0)) + 4.0, F.lit(page_right * 0.90)))
-    own = blocks.join(edge, list(PAGE), "left").withColumn("page_limit", limit).drop("edge")
-    other = blocks.select(*PAGE, F.col("seq").alias("o"), F.col("x0").alias("ox0"), F.col("y0").alias("oy0"), F.col("y1").alias("oy1"))
-    h, oh = F.greatest(F.lit(1.0), F.col("y1") - F.col("y0")), F.greatest(F.lit(1.0), F.col("oy1") - F.col("oy0"))
-    shared = F.least("y1", "oy1") - F.greatest("y0", "oy0")
-    band = (shared > F.least(h, oh) * 0.22) | (F.abs((F.col("oy0") + F.col("oy1") - F.col("y0") - F.col("y1")) / 2) <= F.greatest(h, oh) * 0.55)
-    near = own.join(other, list(PAGE)).where((F.col("o") != F.col("seq")) & (F.col("ox0") > F.col("x1") + 1.0) & band).groupBy(*PAGE, "seq").agg(F.min(F.col("ox0") - 4.0).alias("near"))
+    page = Window.partitionBy(*PAGE)
+    edge = F.max(F.when(~F.col("is_table_cell"), F.col("x1"))).over(page)
+    limit = F.least(F.lit(page_right - 4.0), F.greatest(F.coalesce(edge, F.lit(page_right - 8.0)) + 4.0, F.lit(page_right * 0.90)))
+    rows = blocks.withColumns({"__limit": limit, "__others": F.collect_list(F.struct("seq", "x0", "y0", "y1")).over(page)}).where(~F.col("is_table_cell"))
+    height = F.greatest(F.lit(1.0), F.col("y1") - F.col("y0"))
+
+    def beside(o: Column) -> Column:
+        tall = F.greatest(F.lit(1.0), o.y1 - o.y0)
+        shared = F.least(F.col("y1"), o.y1) - F.greatest(F.col("y0"), o.y0)
+        level = F.abs((o.y0 + o.y1 - F.col("y0") - F.col("y1")) / 2) <= F.greatest(height, tall) * 0.55
+        return (o.seq != F.col("seq")) & (o.x0 > F.col("x1") + 1.0) & ((shared > F.least(height, tall) * 0.22) | level)
+
+    near = F.array_min(F.transform(F.filter("__others", beside), lambda o: o.x0 - 4.0))
     least = F.greatest(F.col("x1") + 2.0, F.col("x0") + 12.0)
-    out = own.join(near, [*PAGE, "seq"], "left").withColumn("right_limit", F.greatest(least, F.least("page_limit", F.coalesce("near", "page_limit"))))
-    return out.where(~F.col("is_table_cell")).drop("near", "page_limit")
+    return rows.withColumn("right_limit", F.greatest(least, F.least("__limit", F.coalesce(near, "__limit")))).drop("__limit", "__others")
 
 
 def table_groups(blocks: DataFrame) -> DataFrame:
@@ -172,8 +187,8 @@ def strips(insertions: DataFrame, height: float = 842.0) -> DataFrame:
 
 def insertion_needs(blocks: DataFrame, needed: Column, height: float = 842.0) -> DataFrame:
     """(doc_id, page_no, seq, anchor, extra): room that a block wants above the next line below it."""
-    below = blocks.select(*PAGE, F.col("y0").alias("next_y"))
-    gap = blocks.withColumn("needed", needed).join(below, list(PAGE), "left").where((F.col("next_y") >= F.col("y1") - 1) | (F.col("next_y") == F.col("y0")))
-    found = gap.groupBy(*PAGE, "seq").agg(F.first("y1").alias("y1"), F.first("needed").alias("needed"), F.min(F.when(F.col("next_y") >= F.col("y1") - 1, F.col("next_y"))).alias("anchor"))
-    out = found.withColumn("anchor", F.coalesce("anchor", F.lit(height))).withColumn("extra", F.col("needed") - (F.col("anchor") - F.col("y1")))
+    tops = F.collect_list("y0").over(Window.partitionBy(*PAGE))
+    rows = blocks.withColumns({"needed": needed, "__tops": tops})
+    anchor = F.coalesce(F.array_min(F.filter("__tops", lambda y: y >= F.col("y1") - 1)), F.lit(height))
+    out = rows.withColumn("anchor", anchor).withColumn("extra", F.col("needed") - (F.col("anchor") - F.col("y1")))
     return out.where("extra > 0").select(*PAGE, "seq", "anchor", "extra")

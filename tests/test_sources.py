@@ -89,6 +89,13 @@ def test_history_edges(spark):
     assert [r[0] for r in spark.range(1).select(history.usage_percent(F.lit(1), F.lit(0))).collect()] == [0]
 
 
+def test_collation_is_an_option(spark):
+    rows = log(spark, [(1, 1, "Họ tên ", "2024-01-01 00:00:00")])
+    like, now = {"user_id": 1, "original_text": "ho TEN"}, "2024-01-01 00:01:00"
+    assert history.recent_duplicate(rows, like, now).collect() == []
+    assert [r.id for r in history.recent_duplicate(rows, like, now, collation="UNICODE_CI_AI_RTRIM").collect()] == [1]
+
+
 def test_day_filter_reaches_the_scan(spark, sf):
     df = spark.read.parquet(f"{sf}/events.parquet").withColumnRenamed("ts", "created_at")
     plan = history.history(df, day="2024-01-05").select("event_id")._jdf.queryExecution().executedPlan().toString()
