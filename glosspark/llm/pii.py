@@ -71,7 +71,6 @@ _HINT_WORDS = tuple(w.encode() for w in DOT_WORDS.split("|"))
 _HINT_BOX = re.compile(rf"[(\[{{<][ \t]*(?:{AT_WORDS}|{DOT_WORDS}|@|\.)[ \t]*[)\]}}>]|&#(?:64|46);".encode(), re.I)
 _HINT_AT, _HINT_DOT = re.compile(rb"[ \t]@|@[ \t]"), re.compile(rb"[ \t]\.[ \t]")
 _HINT_DIGIT = re.compile(rb"[0-9][ -]?[OoIl]|[OoIl][0-9]")
-_HINT_SPELLED = re.compile(rf"(?:{_WORD})[ \t,-]+(?:{_WORD}|oh)\b".encode(), re.I)
 _DIGIT_WORDS = frozenset(w.encode() for w in DIGITS)
 _PARTED = bytes.maketrans(b",-.;:", b"     ")
 
@@ -179,7 +178,8 @@ def disguised(raw: bytes) -> bool:
         return True
     if len(raw.translate(None, b"0123456789")) < len(raw) and _HINT_DIGIT.search(raw):
         return True
-    return not _DIGIT_WORDS.isdisjoint(low.translate(_PARTED).split()) and bool(_HINT_SPELLED.search(raw))
+    words = low.translate(_PARTED).split()
+    return not _DIGIT_WORDS.isdisjoint(words) and any(a in _DIGIT_WORDS and (b in _DIGIT_WORDS or b == b"oh") for a, b in zip(words, words[1:]))
 
 
 def find(raw: bytes | None) -> list[tuple[int, int, int, bool]]:

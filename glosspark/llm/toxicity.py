@@ -28,7 +28,7 @@ from glosspark.llm.pii import LOOK_ALIKES
 
 #: At most so many labelled rows are learned from, and so many lexicon terms kept.
 TRAIN_ROWS, TERMS = 12_000, 4_000
-CACHE_SIZE = 100_000
+CACHE_SIZE = 250_000
 STEMS = (4, 5, 6, 7)
 SEEDS = frozenset(
     "idiot idiots moron morons stupid dumb loser losers pathetic scum trash garbage worthless disgusting clown fool ugly jerk bastard imbecile "
@@ -124,7 +124,7 @@ class Flags(dict):
                 flag |= (MIXED if _MIXED.search(core) else 0) | (DOTTED if _SPACED.search(core) else 0)
             if stretched:
                 flag |= STRETCHED
-            if not found and (not whole or stretched or _FOREIGN.search(low)):
+            if not found and (not whole or stretched or not (low.isascii() or not _FOREIGN.search(low))):
                 found = self.lexicon.find(token)
                 if not found and (found := self.lexicon.hidden(token)):
                     hidden = HIDDEN
