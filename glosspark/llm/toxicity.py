@@ -124,7 +124,7 @@ class Flags(dict):
                 flag |= (MIXED if _MIXED.search(core) else 0) | (DOTTED if _SPACED.search(core) else 0)
             if stretched:
                 flag |= STRETCHED
-            if not found and (not whole or stretched or not (low.isascii() or not _FOREIGN.search(low))):
+            if not found and (not whole or stretched or (not low.isascii() and _FOREIGN.search(low))):
                 found = self.lexicon.find(token)
                 if not found and (found := self.lexicon.hidden(token)):
                     hidden = HIDDEN
