@@ -172,7 +172,7 @@ def logical_lines(runs: DataFrame) -> DataFrame:
 
 def shift_at(insertions: DataFrame, points: DataFrame) -> DataFrame:
     """``shift``: all that insertions above a point's height have added."""
-    marks = insertions.select(*PAGE, F.col("y").alias("at"), "extra", F.lit(None).cast("bigint").alias("seq")).unionByName(points.select(*PAGE, F.col("y").alias("at"), F.lit(0.0).alias("extra"), "seq"))
+    marks = insertions.select(*PAGE, F.col("y").alias("at"), "extra", F.lit(None).cast(dict(points.dtypes)["seq"]).alias("seq")).unionByName(points.select(*PAGE, F.col("y").alias("at"), F.lit(0.0).alias("extra"), "seq"))
     w = Window.partitionBy(*PAGE).orderBy("at", F.col("seq").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
     return marks.withColumn("shift", F.sum("extra").over(w)).where("seq is not null").select(*PAGE, "seq", F.col("at").alias("y"), "shift")
 

@@ -209,7 +209,7 @@ w AS (SELECT doc_id AS image_id, CAST(generate_subscripts(ws, 1) - 1 AS INTEGER)
 wd AS (SELECT image_id, 6 AS psm, k // 24 AS block_num, 0 AS par_num, k // 6 % 4 AS line_num, k AS word_no, text, CASE WHEN k % 11 = 5 THEN -1.0 ELSE CAST((k * 37) % 100 AS DOUBLE) END AS conf,
   (k % 6) * 60 + 10 AS "left", (k // 6) * 20 + k % 3 AS top, 8 * length(text) AS width, 14 + k % 4 AS height FROM w)
 """
-_OCR_LINES = _WORDS + """, l AS (SELECT image_id, block_num, line_num, min("left") AS "left", min(top) AS top, max("left" + width) AS "right", max(top + height) AS bottom, coalesce(avg(conf) FILTER (conf <> -1), 100.0) AS mean_conf,
+_OCR_LINES = _WORDS + """, l AS (SELECT image_id, block_num, line_num, min("left") AS "left", min(top) AS top, CAST(max("left" + width) AS INTEGER) AS "right", max(top + height) AS bottom, coalesce(avg(conf) FILTER (conf <> -1), 100.0) AS mean_conf,
   coalesce(string_agg(text, ' ' ORDER BY word_no) FILTER (conf >= 30 AND trim(text) <> ''), '') AS a, coalesce(string_agg(text, ' ' ORDER BY word_no) FILTER (conf >= 15 AND trim(text) <> ''), '') AS b FROM wd GROUP BY image_id, block_num, line_num),
 ol AS (SELECT image_id, block_num, line_num, "left", top, "right", bottom, mean_conf, CASE WHEN a <> '' THEN a ELSE b END AS text FROM l WHERE a <> '' OR b <> '')
 """
@@ -218,7 +218,7 @@ ol AS (SELECT image_id, block_num, line_num, "left", top, "right", bottom, mean_
 def words(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     w = docs.select(F.col("doc_id").alias("image_id"), F.posexplode(F.split(F.replace(F.substring("text", 1, 400), F.lit("\n"), F.lit(" ")), " ", -1)).alias("k", "text"))
-    return w.selectExpr("image_id", "6 AS psm", "k div 24 AS block_num", "0 AS par_num", "k div 6 % 4 AS line_num", "k AS word_no", "text", "CASE WHEN k % 11 = 5 THEN -1.0D ELSE CAST((k * 37) % 100 AS DOUBLE) END AS conf", "(k % 6) * 60 + 10 AS `left`", "CAST((k div 6) * 20 + k % 3 AS INT) AS top", "8 * length(text) AS width", "14 + k % 4 AS height")
+    return w.selectExpr("image_id", "6 AS psm", "CAST(k div 24 AS INT) AS block_num", "0 AS par_num", "CAST(k div 6 % 4 AS INT) AS line_num", "k AS word_no", "text", "CASE WHEN k % 11 = 5 THEN -1.0D ELSE CAST((k * 37) % 100 AS DOUBLE) END AS conf", "(k % 6) * 60 + 10 AS `left`", "CAST((k div 6) * 20 + k % 3 AS INT) AS top", "8 * length(text) AS width", "14 + k % 4 AS height")
 
 
 @query("ocr_lines", "A3 U2 S9 S11", _OCR_LINES + 'SELECT image_id, block_num, line_num, "left", top, "right", bottom, mean_conf, text FROM ol')

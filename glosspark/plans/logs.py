@@ -56,7 +56,7 @@ def history_latest(spark, sf_dir):
     return h.newest(log(spark, sf_dir)).select("id", "user_id", "original_text")
 
 
-@query("history_pages_of_all", "O1 O2", _LOG + "SELECT user_id, id, k AS rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, id DESC) AS k FROM log) WHERE k BETWEEN 11 AND 20")
+@query("history_pages_of_all", "O1 O2", _LOG + "SELECT user_id, id, CAST(k AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, id DESC) AS k FROM log) WHERE k BETWEEN 11 AND 20")
 def history_pages_of_all(spark, sf_dir):
     return h.ranked_pages(log(spark, sf_dir), 2, 10).select("user_id", "id", "rank")
 

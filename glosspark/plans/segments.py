@@ -179,7 +179,7 @@ _CLEAN = "line"
 for _pattern, _by in p.CLEANUP:
     _CLEAN = f"regexp_replace({_CLEAN}, {_q(_pattern.replace('(?iu)', '(?i)'))}, '{_by}', 'g')"
 _flag("cleaned_line", "F24", t.cleaned, _CLEAN)
-_flag("code_dominated_calls", "F23", lambda c: F.regexp_count(c, F.lit(p.CODE_CALL)) + F.regexp_count(c, F.lit(p.TYPED_IDENT)), f"{_COUNT.format('line', p.CODE_CALL)} + {_COUNT.format('line', p.TYPED_IDENT)}")
+_flag("code_dominated_calls", "F23", lambda c: F.regexp_count(c, F.lit(p.CODE_CALL)) + F.regexp_count(c, F.lit(p.TYPED_IDENT)), f"CAST({_COUNT.format('line', p.CODE_CALL)} + {_COUNT.format('line', p.TYPED_IDENT)} AS INTEGER)")
 _flag("code_dominated", "F23", t.code_dominated, f"{_COUNT.format('line', p.CODE_CALL)} >= 2 OR {_COUNT.format('line', p.TYPED_IDENT)} >= 2 OR {_COUNT.format('line', p.CLASS_LISTING)} >= 2 OR len(list_filter(regexp_extract_all(line, '[A-Za-zÀ-ỹ0-9]+'), lambda w: regexp_matches(w, '^([A-Z][a-z]+([A-Z][a-zA-Z0-9]*)+|[a-z]+[A-Z][a-zA-Z0-9]*)$'))) >= 2")
 _flag("single_line", "F58", t.single_line, rf"{strip_sql(r'''regexp_replace(line, '\s{2,}', ' ', 'g')''')}")
 _flag("profile_leader", "F25", t.profile_leader, rf"CASE WHEN {_CORE} = '' OR (lower(line) LIKE '%email%' AND lower(line) LIKE '%class%') OR NOT regexp_matches({_CORE}, '(?i)^(\s*)(student\s*id|email|class)\s*[:\-]?\s*(.*)$') OR {strip_sql(rf'''regexp_replace(regexp_extract({_CORE}, '(?i)^(\s*)(student\s*id|email|class)\s*[:\-]?\s*(.*)$', 3), '^[.\-_:\s]+', '')''')} = '' THEN line ELSE CASE WHEN regexp_matches({_CORE}, '(?i)^student') THEN 'Student Id:' WHEN regexp_matches({_CORE}, '(?i)^class') THEN 'Class:' ELSE 'Email:' END || chr(9) || {strip_sql(rf'''regexp_replace(regexp_extract({_CORE}, '(?i)^(\s*)(student\s*id|email|class)\s*[:\-]?\s*(.*)$', 3), '^[.\-_:\s]+', '')''')} END")

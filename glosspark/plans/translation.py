@@ -145,7 +145,7 @@ def docx_fallback(spark, sf_dir):
 _PAGE = "concat('{\"blocks\":[{\"type\":0,\"lines\":[{\"bbox\":[1.5,2,30,4],\"spans\":[{\"text\":\"ab\",\"font\":\"Arial-BoldMT\",\"size\":9,\"flags\":0,\"color\":5},{\"text\":\"cde', CAST(doc_id AS VARCHAR(20)), '\",\"font\":\"Arial\",\"size\":', CAST(doc_id % 9 + 4 AS VARCHAR(20)), ',\"flags\":2,\"color\":7}]}]},{\"type\":1}]}')"
 
 
-@query("pdf_page_lines", "S6 A7 A8 A9", "SELECT doc_id, 0 AS seq, 'abcde' || doc_id AS line, CAST(doc_id % 9 + 4 AS DOUBLE) AS font_size, 7 AS color, true AS is_bold, true AS is_italic, 1.5 AS x0 FROM documents")
+@query("pdf_page_lines", "S6 A7 A8 A9", "SELECT doc_id, 0 AS seq, 'abcde' || doc_id AS line, CAST(doc_id % 9 + 4 AS DOUBLE) AS font_size, 7 AS color, true AS is_bold, true AS is_italic, CAST(1.5 AS DOUBLE) AS x0 FROM documents")
 def pdf_page_lines(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("doc_id", "1 AS page_no", f"{_PAGE} AS page")
     return files.page_lines(pages).select("doc_id", "seq", "line", "font_size", "color", "is_bold", "is_italic", "x0")
