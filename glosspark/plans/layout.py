@@ -236,7 +236,23 @@ def ocr_order(spark, sf_dir):
     return ocr.in_order(ocr.words_to_lines(words(spark, sf_dir))).select("image_id", "text", "seq")
 
 
-@query("iou_dedup", "J6 U2")
+_WIDE = "greatest(0, least(x.r, c.r) - greatest(x.l, c.l))"
+_HIGH = "greatest(0, least(x.b, c.b) - greatest(x.t, c.t))"
+_AREA = "greatest(1, ({0}.r - {0}.l) * ({0}.b - {0}.t))"
+_LINE = "{'text': c.text, 'l': c.l, 't': c.t, 'r': c.r, 'b': c.b, 'conf': c.conf}"
+
+
+@query(
+    "iou_dedup", "J6 U2",
+    _OCR_LINES.replace("WITH ", "WITH RECURSIVE ", 1) + f""", both AS (SELECT image_id, text, "left" AS l, top AS t, "right" AS r, bottom AS b, mean_conf AS conf FROM ol
+  UNION ALL SELECT image_id, text, "left" + line_num, top, "right", bottom, mean_conf + block_num % 3 - 1 FROM ol),
+c AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY -conf, t, l, r, b, text) AS k FROM both),
+f AS (SELECT image_id, k, [{_LINE}] AS kept FROM c WHERE k = 1
+  UNION ALL SELECT c.image_id, c.k, CASE WHEN len(list_filter(f.kept, lambda x: {_WIDE} * {_HIGH} / ({_AREA.format('x')} + {_AREA.format('c')} - {_WIDE} * {_HIGH}) >= 0.72)) > 0 THEN f.kept ELSE list_append(f.kept, {_LINE}) END
+  FROM f JOIN c ON c.image_id = f.image_id AND c.k = f.k + 1),
+u AS (SELECT image_id, unnest(kept) AS x FROM (SELECT image_id, kept, row_number() OVER (PARTITION BY image_id ORDER BY k DESC) AS z FROM f) WHERE z = 1)
+SELECT image_id, x.text AS text, x.l AS "left", x.t AS top, x.r AS "right", x.b AS bottom, x.conf AS mean_conf FROM u""",
+)
 def iou_dedup(spark, sf_dir):
     first = ocr.words_to_lines(words(spark, sf_dir))
     moved = first.withColumns({"left": F.col("left") + F.col("line_num"), "mean_conf": F.col("mean_conf") + F.col("block_num") % 3 - 1})

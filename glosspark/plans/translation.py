@@ -151,13 +151,18 @@ def pdf_page_lines(spark, sf_dir):
     return files.page_lines(pages).select("doc_id", "seq", "line", "font_size", "color", "is_bold", "is_italic", "x0")
 
 
-def _pages(name, ops, fold):
-    @query(name, ops)
+def _pages(name, ops, fold, sql=None):
+    @query(name, ops, sql)
     def run(spark, sf_dir):
         return seq.per_page(lay.classified(boxes(spark, sf_dir)), fold)
 
 
-_pages("rows_reordered", "W5", seq.reordered)
+_ROWS = _PAGES.replace("WITH ", "WITH RECURSIVE ", 1) + """, b AS (SELECT *, (y0 + y1) / 2 AS mid, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY seq) AS k FROM bx),
+f AS (SELECT doc_id, page_no, k, mid AS base, 1 AS run FROM b WHERE k = 1
+  UNION ALL SELECT b.doc_id, b.page_no, b.k, CASE WHEN abs(b.mid - f.base) > 4.5 THEN b.mid ELSE f.base END, CASE WHEN abs(b.mid - f.base) > 4.5 THEN f.run + 1 ELSE f.run END
+  FROM f JOIN b ON b.doc_id = f.doc_id AND b.page_no = f.page_no AND b.k = f.k + 1)
+SELECT doc_id, page_no, CAST(row_number() OVER (PARTITION BY doc_id, page_no ORDER BY run, x0, y0, seq) - 1 AS INTEGER) AS seq, line AS text, x0, y0, x1, y1, [CAST(seq AS INTEGER)] AS members FROM b JOIN f USING (doc_id, page_no, k)"""
+_pages("rows_reordered", "W5", seq.reordered, _ROWS)
 _pages("prefixes_merged", "W6", seq.prefixes_merged)
 _pages("paragraphs_merged", "W7 A6", seq.paragraphs_merged)
 _pages("typed_paragraphs", "W8", seq.typed_paragraphs)
@@ -175,23 +180,61 @@ def page_flow(spark, sf_dir):
     return seq.flow(rows).withColumn("shift", F.round("shift", 6))
 
 
-@query("overflow_pages", "W13")
+_WRAP = "list_reduce({w}, lambda a, w: CASE WHEN length(regexp_extract(a, '[^\\n]*$')) + 1 + length(w) <= {n} THEN a || ' ' || w ELSE a || chr(10) || w END)"
+
+
+def _wrap_sql(text, n):
+    words = f"list_filter(regexp_split_to_array({text}, '\\s+'), lambda w: w <> '')"
+    return f"CASE WHEN len({words}) = 0 THEN CAST([] AS VARCHAR[]) ELSE string_split({_WRAP.format(w=words, n=n)}, chr(10)) END"
+
+
+@query(
+    "overflow_pages", "W13",
+    _PAGES.replace("WITH ", "WITH RECURSIVE ", 1) + f""", it AS (SELECT doc_id, CAST(page_no * 30 + seq AS INTEGER) AS item, font_size AS fs, font_size * 1.2 AS lh, len({_wrap_sql('line', 60)}) AS n FROM bx),
+l AS (SELECT doc_id, item, fs, lh, unnest(range(0, CAST(n AS BIGINT))) AS line_no FROM it),
+o AS (SELECT *, row_number() OVER w AS k, lag(lh) OVER w AS plh FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY item, line_no)),
+f AS (SELECT doc_id, k, item, line_no, 1 AS page, CAST(42.0 AS DOUBLE) AS y FROM o WHERE k = 1
+  UNION ALL SELECT o.doc_id, o.k, o.item, o.line_no,
+    CASE WHEN f.y + o.plh + (CASE WHEN o.line_no = 0 THEN o.plh * 0.4 ELSE 0 END) + o.fs > 836 THEN f.page + 1 ELSE f.page END,
+    CASE WHEN f.y + o.plh + (CASE WHEN o.line_no = 0 THEN o.plh * 0.4 ELSE 0 END) + o.fs > 836 THEN 42.0 ELSE f.y + o.plh + (CASE WHEN o.line_no = 0 THEN o.plh * 0.4 ELSE 0 END) END
+  FROM f JOIN o ON o.doc_id = f.doc_id AND o.k = f.k + 1)
+SELECT doc_id, item, CAST(line_no AS INTEGER) AS line_no, page, round(y, 6) AS y FROM f""",
+)
 def overflow_pages(spark, sf_dir):
     items = boxes(spark, sf_dir).select("doc_id", (F.col("page_no") * 30 + F.col("seq")).cast("int").alias("item"), F.col("font_size"), (F.col("font_size") * 1.2).alias("line_h"), F.size(seq.wrapped(F.col("line"), F.lit(60))).alias("n_lines"))
-    return seq.overflow_pages(items)
+    return seq.overflow_pages(items).withColumn("y", F.round("y", 6))
+
 
+_HARD = "flatten(list_transform(list_filter(regexp_split_to_array(line, '\\s+'), lambda w: w <> ''), lambda w: list_transform(range(0, CAST(ceil(length(w) / 8.0) AS BIGINT)), lambda i: CASE WHEN i > 0 THEN chr(1) ELSE '' END || substring(w, i * 8 + 1, 8))))"
 
-@query("wrapped_lines", "W14")
+
+@query(
+    "wrapped_lines", "W14",
+    _LINES + f"""SELECT doc_id, line_no, {_wrap_sql('line', 40)} AS soft, CASE WHEN len({_HARD}) = 0 THEN CAST([] AS VARCHAR[]) ELSE string_split(list_reduce({_HARD}, lambda a, w: CASE WHEN NOT starts_with(w, chr(1)) AND length(regexp_extract(a, '[^\\n]*$')) + 1 + length(w) <= 8 THEN a || ' ' || w ELSE a || chr(10) || replace(w, chr(1), '') END), chr(10)) END AS hard FROM ln""",
+)
 def wrapped_lines(spark, sf_dir):
     return made_lines(spark, sf_dir).select("doc_id", "line_no", seq.wrapped(F.col("line"), F.lit(40)).alias("soft"), seq.wrapped_hard(F.col("line"), F.lit(8)).alias("hard"))
 
 
-@query("wrapped_bilingual", "W14")
+_TWICE = "replace(line, 'e', 'E')"
+
+
+@query(
+    "wrapped_bilingual", "W14",
+    _LINES + f"""SELECT doc_id, line_no, CASE WHEN {_CORE} = '' OR length({_CORE}) + 2 < 60 THEN CASE WHEN {_CORE} = '' THEN CAST([] AS VARCHAR[]) ELSE {_wrap_sql(f"({_CORE} || ' | ' || {strip_sql(_TWICE)})", 60)} END ELSE list_concat({_wrap_sql(f"({_CORE} || ' |')", 60)}, {_wrap_sql(_TWICE, 60)}) END AS lines FROM ln""",
+)
 def wrapped_bilingual(spark, sf_dir):
-    return made_lines(spark, sf_dir).select("doc_id", "line_no", seq.bilingual_lines(F.col("line"), F.upper("line"), F.lit(60)).alias("lines"))
+    return made_lines(spark, sf_dir).select("doc_id", "line_no", seq.bilingual_lines(F.col("line"), F.replace("line", F.lit("e"), F.lit("E")), F.lit(60)).alias("lines"))
 
 
-@query("merged_anchors", "W17")
+@query(
+    "merged_anchors", "W17",
+    _PAGES.replace("WITH ", "WITH RECURSIVE ", 1) + """, a AS (SELECT x.doc_id, x.page_no, x.seq, x.y1, coalesce(min(y.y0) FILTER (y.y0 >= x.y1 - 1), 842.0) AS anchor FROM bx x JOIN bx y USING (doc_id, page_no) GROUP BY x.doc_id, x.page_no, x.seq, x.y1),
+n AS (SELECT doc_id, page_no, anchor, 30.0 - (anchor - y1) AS extra, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY anchor, 30.0 - (anchor - y1)) AS k FROM a WHERE 30.0 - (anchor - y1) > 0),
+f AS (SELECT doc_id, page_no, k, anchor AS base, extra FROM n WHERE k = 1
+  UNION ALL SELECT n.doc_id, n.page_no, n.k, CASE WHEN abs(f.base - n.anchor) < 5 THEN f.base ELSE n.anchor END, n.extra FROM f JOIN n ON n.doc_id = f.doc_id AND n.page_no = f.page_no AND n.k = f.k + 1)
+SELECT doc_id, page_no, base AS y, max(extra) AS extra FROM f GROUP BY doc_id, page_no, base""",
+)
 def merged_anchors(spark, sf_dir):
     return seq.merged_anchors(lay.insertion_needs(boxes(spark, sf_dir), F.lit(30.0)))
 
@@ -210,18 +253,34 @@ def dot_filled(spark, sf_dir):
     return made_lines(spark, sf_dir).select("doc_id", "line_no", seq.filled(F.array(a, a), F.lit(40)).alias("filled"))
 
 
-@query("reflowed_prose", "F38")
+_OCR = "list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(regexp_replace(x, '^\\s+|\\s+$', '', 'g'), '\\s+', ' ', 'g')), lambda x: length(x) > 1 OR regexp_matches(x, '[0-9]'))"
+
+
+@query(
+    "reflowed_prose", "F38",
+    f"SELECT doc_id, CASE WHEN len({_OCR}) = 0 THEN '' ELSE list_reduce({_OCR}, lambda a, x: a || CASE WHEN regexp_matches(a, '[.!?:;]$') OR regexp_matches(x, '^(-|\\*|[0-9]+[.)])\\s+') THEN chr(10) ELSE ' ' END || x) END AS prose FROM documents",
+)
 def reflowed_prose(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", t.reflowed(F.col("text")).alias("prose"))
 
 
-@query("run_groups", "W10 U4")
+@query(
+    "run_groups", "W10 U4",
+    _LINES + f""", k AS (SELECT doc_id, line_no, last_value(CASE WHEN {_CORE} = '' THEN NULL WHEN NOT regexp_matches(line, '[\\pL\\pN_\\x{{C0}}-\\x{{1EF9}}]') THEN 'alone:' || line_no ELSE 'f' || (line_no // 3) END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS key FROM ln),
+c AS (SELECT doc_id, line_no, coalesce(key, '') AS key, lag(coalesce(key, '')) OVER (PARTITION BY doc_id ORDER BY line_no) AS before FROM k)
+SELECT doc_id, line_no AS run_no, CAST(sum(CASE WHEN before = key THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS BIGINT) AS group_no FROM c""",
+)
 def run_groups(spark, sf_dir):
     runs = made_lines(spark, sf_dir).select("doc_id", F.lit(0).alias("para_no"), F.col("line_no").alias("run_no"), F.col("line").alias("text"), F.concat(F.lit("f"), (F.col("line_no") / 3).cast("int").cast("string")).alias("fmt_key"))
     return lay.run_groups(runs).select("doc_id", "run_no", "group_no")
 
 
-@query("logical_lines", "W11")
+@query(
+    "logical_lines", "W11",
+    _LINES + """, r AS (SELECT doc_id, line_no, CASE line_no % 6 WHEN 5 THEN chr(10) WHEN 2 THEN chr(9) ELSE line END AS text FROM ln),
+e AS (SELECT doc_id, line_no, text = chr(10) OR (text = chr(9) AND regexp_matches(coalesce(lead(text) OVER (PARTITION BY doc_id ORDER BY line_no), ''), '^\\s*([0-9]+[.)]|\\p{Lu}{2,})')) AS ends FROM r)
+SELECT doc_id, line_no AS run_no, CAST(coalesce(sum(CAST(ends AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS line_no FROM e""",
+)
 def logical_lines(spark, sf_dir):
     text = F.when(F.col("line_no") % 6 == 5, "\n").when(F.col("line_no") % 6 == 2, "\t").otherwise(F.col("line"))
     runs = made_lines(spark, sf_dir).select("doc_id", F.lit(0).alias("para_no"), F.col("line_no").alias("run_no"), text.alias("text"))
