@@ -244,9 +244,9 @@ _LINE = "{'text': c.text, 'l': c.l, 't': c.t, 'r': c.r, 'b': c.b, 'conf': c.conf
 
 @query(
     "iou_dedup", "J6 U2",
-    _OCR_LINES.replace("WITH ", "WITH RECURSIVE ", 1) + f""", both AS (SELECT image_id, text, "left" AS l, top AS t, "right" AS r, bottom AS b, mean_conf AS conf FROM ol
+    _OCR_LINES.replace("WITH ", "WITH RECURSIVE ", 1) + f""", cand AS (SELECT image_id, text, "left" AS l, top AS t, "right" AS r, bottom AS b, mean_conf AS conf FROM ol
   UNION ALL SELECT image_id, text, "left" + line_num, top, "right", bottom, mean_conf + block_num % 3 - 1 FROM ol),
-c AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY -conf, t, l, r, b, text) AS k FROM both),
+c AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY -conf, t, l, r, b, text) AS k FROM cand),
 f AS (SELECT image_id, k, [{_LINE}] AS kept FROM c WHERE k = 1
   UNION ALL SELECT c.image_id, c.k, CASE WHEN len(list_filter(f.kept, lambda x: {_WIDE} * {_HIGH} / ({_AREA.format('x')} + {_AREA.format('c')} - {_WIDE} * {_HIGH}) >= 0.72)) > 0 THEN f.kept ELSE list_append(f.kept, {_LINE}) END
   FROM f JOIN c ON c.image_id = f.image_id AND c.k = f.k + 1),
