@@ -38,6 +38,8 @@ LOOK_ALIKES = dict(
     )
 )
 NO_WIDTH = frozenset("\u00ad\u200b\u200c\u200d\u2060\ufeff")
+#: Full stop, dashes and a blank that pass for the plain ones between digits.
+SEPARATORS = {"\u3002": ".", "\u00a0": " ", **dict.fromkeys("\u2010\u2011\u2012\u2013\u2014\u2015\u2212", "-")}
 #: Endings that a bare "at ... dot" must lead to; those that are common words would catch prose.
 TOP_LEVEL = "com|org|net|edu|gov|info|biz|io|co|ai|app|dev|uk|de|fr|es|pl|nl|ru|cn|jp|br|au|ca|ch|eu|example|test"
 #: Spelled digits: English, German, French, Spanish.
@@ -52,7 +54,7 @@ DIGITS = {
 AT_WORDS, DOT_WORDS = "at|arroba|arobase", "dot|punto|point|punkt"
 _WORD = "|".join(sorted(DIGITS, key=len, reverse=True))
 _SPELLED = re.compile(rf"\b(?:{_WORD})(?:(?:[ \t]*[,-][ \t]*|[ \t]+)(?:{_WORD}|oh)\b)+", re.I)
-_BY_DOT = re.compile(rf"\b(?:{_WORD})\b(?=[ \t]+(?:{DOT_WORDS})[ \t])|(?<=\bdot )(?:{_WORD})\b", re.I)
+_BY_DOT = re.compile(rf"\b(?:{_WORD})\b(?=[ \t]+(?:{DOT_WORDS})[ \t])|(?:{'|'.join(rf'(?<=\b{w} )' for w in DOT_WORDS.split('|'))})(?:{_WORD})\b", re.I)
 _DIGIT_WORD = re.compile(rf"\b(?:{_WORD}|oh)\b", re.I)
 _PLUS = re.compile(r"\bplus[ \t]+(?=[0-9])", re.I)
 _GAP = r"(?:[ \t]+|_|-)"
@@ -119,8 +121,8 @@ def _plain(c: str) -> str | None:
         return ""
     if c in LOOK_ALIKES:
         return LOOK_ALIKES[c]
-    if c == "。":
-        return "."
+    if c in SEPARATORS:
+        return SEPARATORS[c]
     if (d := unicodedata.decimal(c, None)) is not None:
         return str(d)
     folded = unicodedata.normalize("NFKC", c)
@@ -167,7 +169,7 @@ def normalise(text: str) -> Tape:
 
 def disguised(raw: bytes) -> bool:
     """Whether the text holds anything that a transducer would rewrite."""
-    if not raw.isascii() and (b"\xc2\xad" in raw or _BEYOND_LATIN_1.search(raw)):
+    if not raw.isascii() and (b"\xc2\xad" in raw or b"\xc2\xa0" in raw or _BEYOND_LATIN_1.search(raw)):
         return True
     low = raw.lower()
     if any(w in low for w in _HINT_WORDS) and _DOT.search(raw.decode()):
