@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from glosspark.llm.common import Written, map_arrow, map_batches, utf8
 
 WINDOW, SHINGLE = 10, 5
-BLOCK_BYTES = 16 << 20
+#: Text of items broadcast at once; a worker and the driver hold some hundred times that in windows and counts.
+BLOCK_BYTES = 2 << 20
 #: A-Z become a-z; other ASCII but digits and a-z become blanks; bytes from 0x80 stay.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 _ODD = np.uint64(0x9E3779B97F4A7C15)
