@@ -4,6 +4,7 @@ Fixed values: results depend on each of them, so they are stated in full. Java s
 ``\\w`` of a Unicode engine is written ``[\\pL\\pN_]``.
 """
 
+WHITE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 SPACE = r"[\s\x{A0}\x{85}\x{2000}-\x{200A}\x{2028}\x{2029}\x{3000}]"
 WORD = r"[\pL\pN_]"
 LETTER_LATIN = r"[A-Za-zÀ-ỹ]"

@@ -16,7 +16,7 @@ def text_of(c: Column) -> Column:
 
 def strip(c: Column) -> Column:
     """Without white space at either end, of any script's kind; SQL's trim drops blanks only."""
-    return F.regexp_replace(text_of(c), rf"(?s)\A{p.SPACE}+|{p.SPACE}+\z", "")
+    return F.btrim(text_of(c), F.lit(p.WHITE))
 
 
 def edges(c: Column) -> tuple[Column, Column, Column]:

@@ -48,7 +48,8 @@ def documents(spark, sf_dir):
 
 
 def made_lines(spark, sf_dir):
-    return s.lines(documents(spark, sf_dir)).selectExpr("doc_id", "line_no", f"{_MADE.replace('k %', 'line_no %').replace('CAST(k', 'CAST(line_no')} AS line")
+    made = F.expr(f"transform(split(text, '\\n', -1), (line, k) -> {_MADE})")  # before the explode, so no later filter repeats it
+    return documents(spark, sf_dir).select("doc_id", F.posexplode(made).alias("line_no", "line"))
 
 
 def _q(pattern):
