@@ -120,7 +120,8 @@ def translated(rows: DataFrame, column: str, target: str, ask: Provider | str =
     marked = rows.withColumns({"__p": prefix, "__b": body, "__fixed": fixed, "__keep": keep})
     cores = marked.where("not __keep and __fixed is null").select("__b").distinct()
     masked = cores.withColumn("__m", masking.mask(t.encode_controls(F.col("__b")))).select("__b", F.col("__m.masked").alias("text"), F.col("__m.tokens").alias("__tokens"))
-    got = masked.join(answers(masked, target, context=context, ask=ask, concurrency=concurrency), "text")
+    # a left join: for an inner one the optimizer would test the masked text below the distinct, on every row
+    got = masked.join(answers(masked, target, context=context, ask=ask, concurrency=concurrency), "text", "left")
     said = t.strip(F.col("answer"))
     back = t.decode_controls(masking.unmask(said, F.col("__tokens")))
     done = got.withColumn("__back", back).select("__b", F.when(~masking.lost(said, F.col("__tokens")) & ~masking.leaked(F.col("__back")) & (t.strip(F.col("__back")) != ""), F.col("__back")).alias("__back"))
