@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -133,17 +134,18 @@ class Tape:
     """Text with the source span of each character and whether it was rewritten."""
 
     def __init__(self, text: str):
-        self.text, self.start, self.end, self.new = text, list(range(len(text))), list(range(1, len(text) + 1)), bytearray(len(text))
+        n = len(text)
+        self.text, self.start, self.end, self.new = text, array("q", range(n)), array("q", range(1, n + 1)), bytearray(n)
 
     def rewrite(self, edits: list[tuple[int, int, str]]) -> None:
         """Replace [start, end) of the present text by strings; the edits are in order and apart."""
         if not edits:
             return
-        text, start, end, new, at = [], [], [], bytearray(), 0
+        text, start, end, new, at = [], array("q"), array("q"), bytearray(), 0
         for s, e, by in edits:
             text += [self.text[at:s], by]
-            start += self.start[at:s] + [self.start[s]] * len(by)
-            end += self.end[at:s] + [self.end[e - 1]] * len(by)
+            start += self.start[at:s] + self.start[s : s + 1] * len(by)
+            end += self.end[at:s] + self.end[e - 1 : e] * len(by)
             new += self.new[at:s] + b"\1" * len(by)
             at = e
         text.append(self.text[at:])

@@ -33,6 +33,7 @@ SEED = 42
 #: A fingerprint of more than one in so many rows is hot; there are fewer hot ones than that.
 HOT_SHARE = 200
 FAN = 8  # members of a node
+SLICE = 100_000  # hashes whose bits are unpacked at once, 64 bytes each
 
 
 def _bit_counts(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -64,12 +65,17 @@ def fingerprints_of(texts: list[bytes | None], words: int = 4) -> np.ndarray:
             joined = b" ".join(parts)
             n = max(1, len(parts) - words + 1)
             ends = np.cumsum([len(p) + 1 for p in parts]) - 1
-            begins = np.concatenate(([0], ends[:-1] + 1))[:n].tolist()
-            ends = (ends[words - 1 :] if len(parts) >= words else ends[-1:]).tolist()
-            counts[i] = n
-            runs.append(np.fromiter((digest(joined[s:e], SEED) for s, e in zip(begins, ends)), np.uint64, n))
-            held += n
-        if held > 200_000:  # 64 bytes a shingle once its bits are unpacked
+            begins = np.concatenate(([0], ends[:-1] + 1))[:n]
+            ends = ends[words - 1 :] if len(parts) >= words else ends[-1:]
+            hashed = lambda a: np.fromiter((digest(joined[s:e], SEED) for s, e in zip(begins[a : a + SLICE].tolist(), ends[a : a + SLICE].tolist())), np.uint64)  # noqa: B023, E731
+            if n > SLICE:  # a text of its own, slice by slice
+                sums = sum(_bit_counts(hashed(a), np.zeros(1, int))[0] for a in range(0, n, SLICE))
+                out[i] = ((sums * 2 > n) * weights).sum(dtype=np.uint64)
+            else:
+                counts[i] = n
+                runs.append(hashed(0))
+                held += n
+        if held > SLICE:
             close(i + 1)
     close(len(texts))
     return out

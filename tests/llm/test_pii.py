@@ -76,7 +76,7 @@ def test_tape_maps_every_character():
         assert len(tape.text) == len(tape.start) == len(tape.end) == len(tape.new)
         for c, s, e, new in zip(tape.text, tape.start, tape.end, tape.new):
             assert 0 <= s < e <= len(text) and (new or text[s:e] == c)
-        assert tape.start == sorted(tape.start)
+        assert list(tape.start) == sorted(tape.start)
 
 
 def test_mask(docs):
