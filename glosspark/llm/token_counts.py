@@ -98,8 +98,8 @@ def frequent_table(docs: DataFrame, text: str, model: str, rows: int = TABLE_ROW
     """
     c, lengths = Counter(), Lengths(load(model), {}, size)
     few = docs.select(F.col(f"`{text}`").cast("string").alias("t")).where(F.octet_length("t") < 1 << 16).limit(rows)
-    for t in few.toArrow().column("t").to_pylist():
-        c.update(pre_tokens(t))
+    for row in few.collect():  # an incremental take; toArrow would bring every partition's first rows together
+        c.update(pre_tokens(row[0]))
     top = [w for w, _ in c.most_common(size) if "\x00" not in w]
     return zlib.compress("\x00".join(top).encode() + b"\x01\x00" + ",".join(str(lengths[w]) for w in top).encode())
 
