@@ -19,11 +19,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Rows are numbered and written first, so rows of equal or no id are told apart for good.
     """
-    rows = Written(docs.withColumn("__row", F.monotonically_increasing_id()), "rows").df
-    key = F.struct(F.col("doc_id").isNull().alias("nameless"), F.col("doc_id"), F.col("__row"))
+    row = "row_" + "_" * max(map(len, docs.columns))  # no column's name
+    rows = Written(docs.withColumn(row, F.monotonically_increasing_id()), "rows").df
+    key = F.struct(F.col("doc_id").isNull().alias("nameless"), F.col("doc_id"), F.col(row))
     found = simhash.near_duplicates(rows.select(key.alias("key"), "text"), doc_id="key")
-    kept = found.where("doc_id = component_id").select(F.col("doc_id.__row").alias("__row"))
-    return rows.join(kept, "__row", "left_semi").select(*docs.columns)
+    kept = found.where("doc_id = component_id").select(F.col("doc_id")[row].alias(row))
+    return rows.join(kept, row, "left_semi").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
