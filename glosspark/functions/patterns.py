@@ -17,7 +17,6 @@ LEADER_IMAGE = r"\.{5,}|_{4,}|-{4,}"
 FORM_SPLIT = LEADER_PDF + r"|\s*:\s*"
 FILLER_CHARS = r"[\._\-=:;\s]+"
 
-BULLETS = "[•‣◦⁃∙●○■□·]"
 LIST_LAYOUT = r"^\s*([•‣◦⁃∙▪▫●○■□★☆·]|\-\s|\*\s|\d{1,3}[.)]\s|[a-zA-Z][.)]\s|[ivxIVX]{1,4}[.)]\s)"
 LIST_PREFIX_PDF = r"^(\s*(?:[•‣◦⁃∙●○■□·]|\-\s|\*\s|\d{1,3}[.)]\s|[a-zA-Z][.)]\s|[ivxIVX]{1,4}[.)]\s))"
 LIST_PREFIX_TEXT = r"^(\s*(?:[-+*•◦▪▫○●■□☐☑✓✔◆◇]|\d+[.)]|[A-Za-z][.)]|[ivxIVX]{1,4}[.)])\s*)"
