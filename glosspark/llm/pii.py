@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 from glosspark.llm.common import map_arrow, map_batches, utf8
 
 KINDS = ("email", "ip", "card", "phone")
-_LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")

@@ -194,11 +194,12 @@ class GrayIndex:
                     self._descend(level - 1, i[ok], j[ok])
 
 
-def masks(n: int, distance: int, per_node: int = 64) -> list[int]:
+def masks(n: int, distance: int, per_node: int = 4096) -> list[int]:
     """Masks of the upper nodes: with these every pair within the distance shares a node.
 
     The number of blocks follows from the number of fingerprints alone, so that evenly spread
-    ones leave about ``per_node`` in a node. It moves work, never results.
+    ones leave ``per_node`` at most in a node: comparing that many costs a tenth of a text's
+    fingerprint, while each further block multiplies what is shuffled. It moves work, never results.
     """
     m = distance + 1
     while m < distance + 4 and n / 2 ** (64 * (m - distance) // m) > per_node:
