@@ -12,7 +12,7 @@ def one(spark, column, **values):
 
 # Golden cases of filler lines; a name is replaced.
 FILLER = [
-    ("Ho Ten TV1: A B C .......MSSV: 222683.......", False), ("Ten de tai: Website hoc lap trinh - CodequestAI.......", False), ("Tom tat noi dung de tai: ...", False),
+    ("Ho Ten TV1: A B C .......MSSV: 222683.......", False), ("Ten de tai: Website hoc lap trinh - X.......", False), ("Tom tat noi dung de tai: ...", False),
     ("Phan tich thiet ke he thong: Co ......", False), ("." * 44, True), ("_" * 28, True), ("", True), ("1", False), ("AB", False), ("....", True),
 ]
 
