@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import time
 import unicodedata
 from collections.abc import Callable
 
@@ -26,6 +27,7 @@ from glosspark.operators import masking
 
 Provider = Callable[[list[str], str, str, str], list[str]]
 BATCH, MAX_BATCH = 30, 200
+RETRIES, BACKOFF = 3, 1.5
 MODES = {"preserve_layout": "inline", "line_by_line": "newline", "none": "none", "inline": "inline", "newline": "newline"}
 
 _providers: dict[str, Provider] = {}
@@ -81,6 +83,30 @@ def cascade(*names: str) -> Provider:
     return ask
 
 
+class ProviderStopped(RuntimeError):
+    """A provider's limit or credit is used up: asking again would not help."""
+
+
+def retrying(ask: Provider, retries: int = RETRIES, backoff: float = BACKOFF, wait: Callable[[float], None] = time.sleep) -> Provider:
+    """Ask again after passing faults, each time later; stop at once at a limit, and fail at other faults."""
+
+    def call(texts: list[str], source: str, target: str, context: str) -> list[str]:
+        last: Exception | None = None
+        for k in range(max(1, retries)):
+            try:
+                return ask(texts, source, target, context)
+            except Exception as e:  # noqa: BLE001  sorted by its words, as providers have classes of their own
+                last = e
+                if re.search(p.FAIL_FAST_WORDS, str(e)):
+                    raise ProviderStopped(str(e)) from e
+                if not re.search(p.RETRY_WORDS, str(e)):
+                    raise
+                wait(backoff**k)
+        raise last
+
+    return call
+
+
 def mode_of(name: str | None) -> str:
     return MODES.get((name or "none").strip().lower(), "none")
 
