@@ -232,22 +232,18 @@ def text_chunks(c: Column, most: int = 3000) -> Column:
     """Provider-sized pieces of a plain text: paragraphs, or sentences packed up to ``most`` characters.
 
     A sentence over the limit in the middle of its paragraph stays whole; the last piece is sliced.
+    Packing greedily is what a greedy pattern does: the longest run of whole sentences that fits,
+    else one sentence.
     """
     paragraphs = F.filter(F.transform(F.split(text_of(c), "\n{2,}"), strip), lambda x: x != "")
-    state = lambda done, cur: F.struct(done.alias("done"), cur.alias("cur"))
-    empty = F.array().cast("array<string>")
-
-    def add(a: Column, s: Column) -> Column:
-        fits = F.length(a.cur) + F.length(s) + 1 <= most
-        together = state(a.done, F.when(a.cur != "", F.concat(a.cur, F.lit(" "), s)).otherwise(s))
-        return F.when(fits, together).otherwise(state(F.when(a.cur != "", F.array_append(a.done, a.cur)).otherwise(a.done), s))
-
-    def close(a: Column) -> Column:
-        slices = F.transform(F.sequence(F.lit(0), F.floor((F.length(a.cur) - 1) / most).cast("int")), lambda i: F.substring(a.cur, i * most + 1, F.lit(most)))
-        return F.when(a.cur != "", F.concat(a.done, slices)).otherwise(a.done)
+    ends = r"(?:(?<=[.!?])(?= )|\z)"
+    pattern = rf"(?s)(.{{1,{most}}}{ends}|.+?{ends}) ?"
 
     def packed(par: Column) -> Column:
-        return F.aggregate(F.split(par, r"(?<=[.!?])\s+"), state(empty, F.lit("")), add, close)
+        pieces = F.regexp_extract_all(F.regexp_replace(par, r"(?<=[.!?])\s+", " "), F.lit(pattern), 1)
+        last = F.element_at(pieces, -1)
+        slices = F.transform(F.sequence(F.lit(0), F.floor((F.length(last) - 1) / most).cast("int")), lambda i: F.substring(last, i * most + 1, F.lit(most)))
+        return F.concat(F.slice(pieces, F.lit(1), F.size(pieces) - 1), slices)
 
     return F.flatten(F.transform(paragraphs, lambda par: F.when(F.length(par) <= most, F.array(par)).otherwise(packed(par))))
 

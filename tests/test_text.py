@@ -79,7 +79,7 @@ def chunks(text, most):
     return out
 
 
-@pytest.mark.parametrize("text", ["", "a\n\n\nb", "One. Two! Three? " * 9, "x" * 95 + ". short", "short. " + "x" * 95, "x" * 40 + ". " + "y" * 70 + ". z", "\n\n \n\n"])
+@pytest.mark.parametrize("text", ["", "a\n\n\nb", "One. Two! Three? " * 9, "x" * 95 + ". short", "short. " + "x" * 95, "x" * 40 + ". " + "y" * 70 + ". z", "\n\n \n\n", "a.  b!\n c? " * 20, "x" * 29 + ". y. z." + " w" * 30, "." * 70, ". . . " * 20, "ab c " * 40 + "."])
 def test_chunks(spark, text):
     got = one(spark, t.text_chunks(F.col("a"), 30), a=text)
     assert got == chunks(text, 30)
