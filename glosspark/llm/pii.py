@@ -71,10 +71,10 @@ _AS_DIGIT = str.maketrans("OoIl", "0011")
 _BEYOND_LATIN_1 = re.compile(rb"[\xc4-\xff]")
 _HINT_WORDS = tuple(w.encode() for w in DOT_WORDS.split("|"))
 _HINT_BOX = re.compile(rf"[(\[{{<][ \t]*(?:{AT_WORDS}|{DOT_WORDS}|@|\.)[ \t]*[)\]}}>]|&#(?:64|46);".encode(), re.I)
-_HINT_AT, _HINT_DOT = re.compile(rb"[ \t]@|@[ \t]"), re.compile(rb"[ \t]\.[ \t]")
+_HINT_AT, _HINT_DOT = re.compile(rb"[ \t]@|@[ \t]"), (b" . ", b" .\t", b"\t. ", b"\t.\t")
 _HINT_DIGIT = re.compile(rb"[0-9][ -]?[OoIl]|[OoIl][0-9]")
-_DIGIT_WORDS = frozenset(w.encode() for w in DIGITS)
-_PARTED = bytes.maketrans(b",-.;:", b"     ")
+_DIGIT_WORDS = frozenset(w.encode("latin-1") for w in DIGITS)
+_PARTED = bytes(i if chr(i).isalnum() or chr(i) == "_" else 32 for i in range(256))
 
 
 def luhn(digits: str) -> bool:
@@ -172,12 +172,14 @@ def disguised(raw: bytes) -> bool:
     """Whether the text holds anything that a transducer would rewrite."""
     if not raw.isascii() and (b"\xc2\xad" in raw or b"\xc2\xa0" in raw or _BEYOND_LATIN_1.search(raw)):
         return True
-    low = raw.lower()
-    if any(w in low for w in _HINT_WORDS) and _DOT.search(raw.decode()):
+    low = raw.lower() if raw.isascii() else raw.decode().lower().encode("latin-1")
+    if any(w in low for w in _HINT_WORDS) and (_DOT.search(text := raw.decode()) or _BY_DOT.search(text)):
+        return True
+    if b"plus" in low and _PLUS.search(raw.decode()):
         return True
     if any(c in raw for c in (b"(", b"[", b"{", b"<", b"&#")) and _HINT_BOX.search(raw):
         return True
-    if (b"@" in raw and _HINT_AT.search(raw)) or (b" . " in raw and _HINT_DOT.search(raw)):
+    if (b"@" in raw and _HINT_AT.search(raw)) or any(d in raw for d in _HINT_DOT):
         return True
     if len(raw.translate(None, b"0123456789")) < len(raw) and _HINT_DIGIT.search(raw):
         return True

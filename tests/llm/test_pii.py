@@ -63,6 +63,28 @@ def test_disguises_map_back(kind, hidden):
     assert (kind, hidden) in [(pii.KINDS[k], text[s:e]) for k, s, e, _ in pii.find(text.encode())]
 
 
+@pytest.mark.parametrize("text", ["Call plus 1 (988) 555-2485 today", "PLUS\t1 988 555 2485", "mail a\t.\tb", "(one two)", "FÜNF FÜNF", "«zéro» ZÉRO un", "nine dot !", "dot one"])
+def test_one_disguise_is_enough(text):
+    assert pii.normalise(text).text != text and pii.disguised(text.encode())
+
+
+def test_phone_after_the_word_plus():
+    assert pii.find("Call plus 1 (988) 555-2485 today".encode()) == [(3, 5, 26, False)]
+    assert pii.masked("Call plus 1 (988) 555-2485 today".encode()) == "Call [PHONE] today"
+
+
+def test_not_disguised_means_nothing_to_rewrite():
+    rng = random.Random(5)
+    pieces = ["plus", "Plus", "one", "FÜNF", "zéro", "oh", "dot", "Punkt", "point", "at", "arroba", "@", ".", "com", "x", "É", "5", "12", "O", "l", "(", ")", "[", "]", " ", " ", "  ", "\t", "-", "_", ",", "/", "\n", "«", "×", "&#64;", "²", "\u00ad", "а"]
+    seen = 0
+    for _ in range(60_000):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randint(1, 7)))
+        if not pii.disguised(text.encode()):
+            seen += 1
+            assert pii.normalise(text).text == text, text
+    assert seen > 10_000
+
+
 def test_plain_words_are_left_alone():
     for text in ["we met at the dot of noon", "the two of us, one by one", "seven eight nine", "Привет мир", "look at this. At home", "version 2.0.1", "10 O1 l0", "un un un un " * 9, "dos o tres", "ends here . Com", "a point in time"]:
         assert [s for s in pii.find(text.encode()) if not s[3]] == []
