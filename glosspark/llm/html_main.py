@@ -31,8 +31,6 @@ from glosspark.llm.common import Written, map_arrow, utf8
 
 #: Share of a host's pages that a valid class must support, and of varying text that the main slot must hold.
 SUPPORT, MASS = 0.5, 0.8
-#: Paths on fewer than one in so many pages say nothing of the template; what a host's task holds is bounded by this.
-RARE = 1_000
 #: Templates are broadcast up to this many bytes and joined by host beyond.
 BROADCAST_BYTES = 32 << 20
 
@@ -149,20 +147,26 @@ def _wrap(x: int) -> int:
 
 
 def page_tokens(html: str) -> tuple[dict[str, list[int]], dict[tuple[str, int], int]]:
-    """Of one page: path -> [elements, characters of text that may be main], (path, hash of block) -> count."""
+    """Of one page: path -> [elements, characters of text below it that may be main], (path, hash of
+    block) -> count. The empty path stands once and holds all."""
     paths: dict[str, list[int]] = defaultdict(lambda: [0, 0])
     blocks: dict[tuple[str, int], int] = defaultdict(int)
     texts: dict[str, list] = {}
+    paths[""][0] = 1
+    mass: dict[tuple[str, ...], int] = defaultdict(int)
     for path, dropped, text, _ in page_blocks(html, paths):
         if text.isspace():
             continue
         if not dropped and path:
-            paths["/".join(path)][1] += len(text)
+            mass[path] += len(text)
         name = _block_path(path)
         if "article" not in name and "main" not in name:
             texts.setdefault(name, []).append(text)
     for name, runs in texts.items():
         blocks[name, _hash(" ".join("".join(runs).split()))] += 1
+    for path, chars in mass.items():
+        for k in range(len(path) + 1):
+            paths["/".join(path[:k])][1] += chars
     return paths, blocks
 
 
@@ -172,7 +176,7 @@ def host_of(url: Column) -> Column:
 
 def token_vectors(pages: DataFrame) -> DataFrame:
     """(host, path, block, df, n, sketch, chars) of each token over all pages of a host; ``block`` is
-    null for a path. Added up in the reading task first, then by host and token."""
+    null for a path, whose ``chars`` are of all below it. Added up in the reading task first, then by host and token."""
 
     def run(batches):
         sums: dict[tuple, list[int]] = {}
@@ -187,8 +191,8 @@ def token_vectors(pages: DataFrame) -> DataFrame:
 
         for batch in batches:
             for host, mark, raw in zip(batch.column("host").to_pylist(), batch.column("mark").to_pylist(), utf8(batch.column("html"))):
-                paths, blocks = page_tokens(raw.decode()) if raw else ({}, {})
-                for key, n, chars in [*(((host, p, None), *c) for p, c in paths.items()), *(((host, p, b), n, 0) for (p, b), n in blocks.items()), ((host, "", None), 1, 0)]:
+                paths, blocks = page_tokens(raw.decode()) if raw else ({"": [1, 0]}, {})
+                for key, n, chars in [*(((host, p, None), *c) for p, c in paths.items()), *(((host, p, b), n, 0) for (p, b), n in blocks.items())]:
                     s = sums.setdefault(key, [0, 0, 0, 0])
                     s[0] += 1
                     s[1] += n
@@ -239,12 +243,8 @@ def deduce(tokens: list[tuple[str, int | None, int, int, object, int]], pages: i
     """
     skeleton, below = nested(tokens, pages)
     single = {p for p, b, df, n, _, _ in tokens if b is None and n == df}
-    mass: dict[str, int] = defaultdict(int)  # text below each path
-    for path, block, *_, chars in tokens:
-        parts = path.split("/") if block is None and path else []
-        for k in range(len(parts)):
-            mass["/".join(parts[: k + 1])] += chars
-    total = sum(m for p, m in mass.items() if "/" not in p)
+    mass = {path: chars for path, block, *_, chars in tokens if block is None}  # text below each path
+    total = mass.get("", 0)
     slot = None
     for allowed in (skeleton, {p for paths in below.values() for p in paths if p in single}):
         for path in sorted(allowed, key=lambda p: (p.count("/"), p)):
@@ -264,7 +264,7 @@ def templates(pages: DataFrame) -> DataFrame:
     """(host, slot, blocks) of every host with two pages or more."""
     tokens = Written(token_vectors(pages), "tokens").df  # read twice
     counts = tokens.where("path = '' and block is null").select("host", F.col("df").alias("pages"))
-    valid = tokens.join(counts, "host").where((F.col("pages") >= 2) & ((F.col("block").isNull() & (F.col("df") * RARE >= F.col("pages"))) | (F.col("df") >= F.greatest(F.lit(2), F.col("pages") * SUPPORT))))
+    valid = tokens.join(counts, "host").where((F.col("pages") >= 2) & (F.col("df") >= F.col("pages") * SUPPORT) & (F.col("block").isNull() | (F.col("df") >= 2)))  # no other token is in a valid class
 
     def one(key, held):
         rows = zip(*[held.column(c).to_pylist() for c in ("path", "block", "df", "n", "sketch", "chars")])

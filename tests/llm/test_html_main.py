@@ -51,3 +51,13 @@ def test_equal_vectors_make_a_class(spark):
     got = {(r.path, r.block is not None): r for r in h.token_vectors(df).collect()}
     assert got["body/div/p", False].sketch == got["", False].sketch == got["body/div.s", False].sketch == got["body/div.s", True].sketch
     assert got["body/div/i", False].sketch != got["", False].sketch and got["body/div/i", False].df == 4
+
+
+def test_paths_of_one_page_count_on_hosts_of_any_size(spark):
+    def page(n):
+        slug = "".join(chr(97 + int(c)) for c in str(n))
+        return f"<html><body><div class='wrap'><div id='a-{slug}'><p>{f'body {slug} ' * 9}</p></div><div class='teaser'><p>next {slug}</p></div></div></body></html>"
+
+    for size in (10, 1_200):
+        got = {r.page_id: r.text for r in h.extract_main(pages(spark, [(n, f"http://h.example/{n}", page(n)) for n in range(size)])).collect()}
+        assert len(got) == size and got[3] == "body d " * 9 + "next d" and all(t.startswith("body") for t in got.values())
