@@ -202,7 +202,7 @@ def token_vectors(pages: DataFrame) -> DataFrame:
                 yield from flush()
         yield from flush()
 
-    marked = pages.select("host", F.xxhash64("page_id", "url").alias("mark"), "html")
+    marked = pages.select("host", F.xxhash64("html").alias("mark"), "html")
     part = map_arrow(marked, run, "host string, path string, block bigint, df bigint, n bigint, sketch bigint, chars bigint")
     # sums modulo 2^64, which a long cannot overflow to: by halves
     low, high = F.sum(F.col("sketch").bitwiseAND(F.lit(0xFFFFFFFF))).cast("decimal(38,0)"), F.sum(F.shiftright("sketch", 32)).cast("decimal(38,0)")
@@ -261,8 +261,8 @@ def _container(path: str) -> bool:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, slot, blocks) of every host with two pages or more."""
-    tokens = Written(token_vectors(pages), "tokens").df  # read twice
+    """(host, slot, blocks) of every host with two different pages or more; copies of a page count once."""
+    tokens = Written(token_vectors(pages.select("host", "html").distinct()), "tokens").df  # read twice
     counts = tokens.where("path = '' and block is null").select("host", F.col("df").alias("pages"))
     valid = tokens.join(counts, "host").where((F.col("pages") >= 2) & (F.col("df") >= F.col("pages") * SUPPORT) & (F.col("block").isNull() | (F.col("df") >= 2)))  # no other token is in a valid class
 
@@ -305,7 +305,8 @@ def main_text(html: str, slot: str | None, template: frozenset[str]) -> str:
         text = cut(lambda path, name: any(p.partition(".")[0] == root for p in path))
         if text:
             return text
-    return cut(lambda path, name: True)
+    text = cut(lambda path, name: True)
+    return main_text(html, slot, frozenset()) if constant and not text else text  # nothing but template text: all of it
 
 
 def extract_main(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:

@@ -61,3 +61,18 @@ def test_paths_of_one_page_count_on_hosts_of_any_size(spark):
     for size in (10, 1_200):
         got = {r.page_id: r.text for r in h.extract_main(pages(spark, [(n, f"http://h.example/{n}", page(n)) for n in range(size)])).collect()}
         assert len(got) == size and got[3] == "body d " * 9 + "next d" and all(t.startswith("body") for t in got.values())
+
+
+def test_copies_of_a_page_keep_their_text(spark):
+    def page(n):
+        return f"<html><body><nav>menu</nav><h1>Head {n}</h1><p>Text of page {n}</p></body></html>"
+
+    rows = [(1, "http://two.example/a", page(1)), (2, "http://two.example/b", page(1))] + [(3, "http://row.example/", page(3))] * 3
+    rows += [(n, f"http://hot.example/{n}", page(10 if n < 20 else n)) for n in range(10, 30)]
+    got = [(r.page_id, r.text) for r in h.extract_main(pages(spark, rows)).collect()]
+    assert sorted(got) == sorted((i, f"Head {k} Text of page {k}") for i, k in [(1, 1), (2, 1), (3, 3), (3, 3), (3, 3), *((n, 10 if n < 20 else n) for n in range(10, 30))])
+
+
+def test_a_page_of_template_text_only_is_not_emptied(spark):
+    rows = [(n, f"http://h.example/{n}", f"<html><body><h1>Same</h1><p>Same text</p><nav>{n}</nav></body></html>") for n in range(4)]
+    assert [r.text for r in h.extract_main(pages(spark, rows)).collect()] == ["Same Same text"] * 4
