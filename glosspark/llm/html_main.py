@@ -239,7 +239,8 @@ def deduce(tokens: list[tuple[str, int | None, int, int, object, int]], pages: i
     """Main slot (a path, or None) and template blocks ('path hash') of one host's tokens.
 
     Slots are the elements of the skeleton and, where that leaves none, of nested classes that
-    stand at most once on a page. The main slot is the deepest with enough of the text.
+    stand at most once on a page. The main slot is the deepest with enough of the text, or the
+    article or main element around it, which is main text as a whole.
     """
     skeleton, below = nested(tokens, pages)
     single = {p for p, b, df, n, _, _ in tokens if b is None and n == df}
@@ -250,6 +251,10 @@ def deduce(tokens: list[tuple[str, int | None, int, int, object, int]], pages: i
         for path in sorted(allowed, key=lambda p: (p.count("/"), p)):
             if mass.get(path, 0) >= MASS * total > 0 and _container(path) and (slot is None or path.startswith(slot + "/")):
                 slot = path
+    if slot:
+        parts = slot.split("/")
+        around = {r: p for k in range(len(parts), 0, -1) if (r := parts[k - 1].partition(".")[0]) in _ROOTS and (p := "/".join(parts[:k])) in single}  # the outermost of each
+        slot = next((around[r] for r in _ROOTS if r in around), slot)
     whole = slot is None or slot.rpartition("/")[2] in ("html", "body")  # no element marks the slot off
     return slot, [f"{p} {b}" for p, b, *_ in tokens if b is not None and (whole or not (p == slot or p.startswith(slot + "/")))]
 

@@ -1,3 +1,5 @@
+import pytest
+
 from glosspark.llm import html_main as h
 
 PAGE = (
@@ -76,3 +78,12 @@ def test_copies_of_a_page_keep_their_text(spark):
 def test_a_page_of_template_text_only_is_not_emptied(spark):
     rows = [(n, f"http://h.example/{n}", f"<html><body><h1>Same</h1><p>Same text</p><nav>{n}</nav></body></html>") for n in range(4)]
     assert [r.text for r in h.extract_main(pages(spark, rows)).collect()] == ["Same Same text"] * 4
+
+
+@pytest.mark.parametrize("root", ["article", "main"])
+def test_the_whole_article_is_kept(spark, root):
+    def page(n):
+        return f"<html><body><nav>menu</nav><div class='wrap'><{root} class='post'><header><h1>Head {n}</h1><p>Lead {n}</p></header><div class='body'><p>{f'long {n} ' * 40}</p></div></{root}></div><div class='strip'>Always here</div></body></html>"
+
+    got = {r.page_id: r.text for r in h.extract_main(pages(spark, [(n, f"http://h.example/{n}", page(n)) for n in range(12)])).collect()}
+    assert got == {n: f"Head {n} Lead {n} " + " ".join([f"long {n}"] * 40) for n in range(12)}
