@@ -90,3 +90,13 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
 def utf8(column: pa.Array) -> list[bytes | None]:
     """The UTF-8 bytes of a string column, never decoded."""
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
+
+
+def text_of(raw: bytes) -> str:
+    """The text of UTF-8 bytes; what is ill-formed becomes U+FFFD, as Unicode recommends."""
+    return raw.decode("utf-8", "replace")
+
+
+def decoded(column: pa.Array) -> list[str | None]:
+    """The texts of a string column, whatever its bytes."""
+    return [None if raw is None else text_of(raw) for raw in utf8(column)]
