@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glosspark.llm.common import map_arrow, map_batches, utf8
+from glosspark.llm.common import map_arrow, map_batches, text_of, utf8
 
 KINDS = ("email", "ip", "card", "phone")
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -59,18 +59,19 @@ _DIGIT_WORD = re.compile(rf"\b(?:{_WORD}|oh)\b", re.I)
 _PLUS = re.compile(r"\bplus[ \t]+(?=[0-9])", re.I)
 _GAP = r"(?:[ \t]+|_|-)"
 _BOX_AT, _BOX_DOT = (rf"[ \t]*[(\[{{<][ \t]*(?:{w})[ \t]*[)\]}}>][ \t]*" for w in (f"{AT_WORDS}|@", rf"{DOT_WORDS}|\."))
+_REF_AT, _REF_DOT = "&(?:#0*64|#x0*40|commat);", "&(?:#0*46|#x0*2e|period);"  # character references
 _SAID_DOT = rf"(?:{_GAP}(?:{DOT_WORDS}){_GAP}|{_BOX_DOT})"
 _AT = re.compile(
-    rf"{_BOX_AT}|&#64;|(?<=[A-Za-z0-9])[ \t]+@[ \t]*(?=[A-Za-z0-9])|(?<=[A-Za-z0-9])@[ \t]+(?=[A-Za-z0-9])"
+    rf"{_BOX_AT}|{_REF_AT}|(?<=[A-Za-z0-9])[ \t]+@[ \t]*(?=[A-Za-z0-9])|(?<=[A-Za-z0-9])@[ \t]+(?=[A-Za-z0-9])"
     rf"|(?<=[A-Za-z0-9]){_GAP}(?:{AT_WORDS}){_GAP}(?=[A-Za-z0-9]+(?:{_SAID_DOT}[A-Za-z0-9]+)*{_SAID_DOT}(?:{TOP_LEVEL})\b)", re.I,
 )
-_DOT = re.compile(rf"{_BOX_DOT}|&#46;|(?<=[A-Za-z0-9]){_GAP}(?:{DOT_WORDS}){_GAP}(?=[A-Za-z0-9])|(?<=[A-Za-z0-9])[ \t]+\.[ \t]+(?=[A-Za-z0-9])", re.I)
+_DOT = re.compile(rf"{_BOX_DOT}|{_REF_DOT}|(?<=[A-Za-z0-9]){_GAP}(?:{DOT_WORDS}){_GAP}(?=[A-Za-z0-9])|(?<=[A-Za-z0-9])[ \t]+\.[ \t]+(?=[A-Za-z0-9])", re.I)
 _LETTER_DIGIT = re.compile(r"(?<=[0-9])[OoIl]+(?![A-Za-z])|(?<![A-Za-z])[OoIl]+(?=[0-9])|(?<=[0-9][ -])[OoIl]{2,4}(?![A-Za-z])")
 _AS_DIGIT = str.maketrans("OoIl", "0011")
 # A cheap look at the bytes for anything that a transducer would rewrite.
 _BEYOND_LATIN_1 = re.compile(rb"[\xc4-\xff]")
 _HINT_WORDS = tuple(w.encode() for w in DOT_WORDS.split("|"))
-_HINT_BOX = re.compile(rf"[(\[{{<][ \t]*(?:{AT_WORDS}|{DOT_WORDS}|@|\.)[ \t]*[)\]}}>]|&#(?:64|46);".encode(), re.I)
+_HINT_BOX = re.compile(rf"[(\[{{<][ \t]*(?:{AT_WORDS}|{DOT_WORDS}|@|\.)[ \t]*[)\]}}>]|{_REF_AT}|{_REF_DOT}".encode(), re.I)
 _HINT_AT, _HINT_DOT = re.compile(rb"[ \t]@|@[ \t]"), (b" . ", b" .\t", b"\t. ", b"\t.\t")
 _HINT_DIGIT = re.compile(rb"[0-9][ -]?[OoIl]|[OoIl][0-9]")
 _DIGIT_WORDS = frozenset(w.encode("latin-1") for w in DIGITS)
@@ -177,7 +178,7 @@ def disguised(raw: bytes) -> bool:
         return True
     if b"plus" in low and _PLUS.search(raw.decode()):
         return True
-    if any(c in raw for c in (b"(", b"[", b"{", b"<", b"&#")) and _HINT_BOX.search(raw):
+    if any(c in raw for c in (b"(", b"[", b"{", b"<", b"&")) and _HINT_BOX.search(raw):
         return True
     if (b"@" in raw and _HINT_AT.search(raw)) or any(d in raw for d in _HINT_DOT):
         return True
@@ -188,10 +189,15 @@ def disguised(raw: bytes) -> bool:
 
 
 def find(raw: bytes | None) -> list[tuple[int, int, int, bool]]:
-    """(kind number, start, end, base) by kind, then start; offsets in code points of the source."""
+    """(kind number, start, end, base) by kind, then start; offsets in code points of the source.
+
+    What is no UTF-8 counts as one code point, U+FFFD, for each ill-formed part.
+    """
     if not raw:
         return []
-    text = raw.decode()
+    text = text_of(raw)
+    if "\ufffd" in text:
+        raw = text.encode()
     base = matches(text)
     out = [(*m, True) for m in base]
     if disguised(raw):
@@ -241,7 +247,7 @@ def masked(raw: bytes | None) -> str | None:
     """The text with each span, or run of overlapping spans, replaced by its first kind in brackets."""
     if raw is None:
         return None
-    text, out, at, until = raw.decode(), [], 0, 0
+    text, out, at, until = text_of(raw), [], 0, 0
     for k, s, e, _ in sorted(find(raw), key=lambda x: (x[1], -x[2])):
         if s >= until:
             out += [text[at:s], f"[{KINDS[k].upper()}]"]

@@ -68,6 +68,39 @@ def test_one_disguise_is_enough(text):
     assert pii.normalise(text).text != text and pii.disguised(text.encode())
 
 
+def ungated(text):
+    """``find`` with the transducers run on every text."""
+    base, tape = pii.matches(text), pii.normalise(text)
+    out = [(*m, True) for m in base]
+    for kind, a, b in pii.matches(tape.text):
+        span = (kind, tape.start[a], tape.end[b - 1])
+        if (any(tape.new[a:b]) or span[2] - span[1] != b - a) and span not in base and not any(k == kind and x <= span[1] and span[2] <= y for k, x, y in base):
+            out.append((*span, False))
+    return sorted(out)
+
+
+def test_find_runs_the_transducers_wherever_they_do_anything():
+    rng = random.Random(11)
+    digits = [w for w in pii.DIGITS if w.isascii()][:20] + ["oh"]
+    parts = ["plus ", "Plus\t", "+", "44 20 7946 0958", "1 988 555 2485", "4l11 1111 1111 1111", "4111 1111 1111 lll1", "joe", "mail.example", "com", " at ", "_at_", " arroba ", " arobase ", " dot ", "-punkt-", " punto ", " point ", "(at)", "[ @ ]", "<dot>", "{.}",
+             "&#64;", "&#x40;", "&commat;", "&#46;", "&#X2E;", "&period;", " @ ", "@ ", " . ", "1O.0.0.1", "10", ".", " ", ", ", "\u200b", "\u2013", "а", "５", "\u00ad", "\u00a0", "é"]
+    found = 0
+    for _ in range(20_000):
+        text = "".join(rng.choice(parts) if rng.random() < 0.75 else " ".join(rng.choices(digits, k=rng.randint(1, 9))) for _ in range(rng.randint(1, 8)))
+        got = pii.find(text.encode())
+        assert got == ungated(text), text
+        found += any(not base for *_, base in got)
+    assert found > 1000
+    for text, span in (("plus 44 20 7946 0958", "phone"), ("joe&#x40;mail.example", "email"), ("joe@mail&period;example", "email")):
+        assert [pii.KINDS[k] for k, *_ in pii.find(text.encode())] == [span]
+
+
+def test_bytes_that_are_no_text(spark):
+    df = spark.sql("SELECT 1L AS doc_id, CAST(X'FFFE61406D2E6578' AS STRING) AS text")
+    assert pii.digest(pii.find_pii(df)).first().spans == "email:2:8"
+    assert pii.mask(df.withColumn("n_chars", F.lit(1))).first().text == "\ufffd\ufffd[EMAIL]"
+
+
 def test_phone_after_the_word_plus():
     assert pii.find("Call plus 1 (988) 555-2485 today".encode()) == [(3, 5, 26, False)]
     assert pii.masked("Call plus 1 (988) 555-2485 today".encode()) == "Call [PHONE] today"
