@@ -17,6 +17,9 @@ from glosspark.session import reach
 #: Labels of these remainders of crc32(doc_id) mod 5 may be learned from; remainder 0 is held out.
 TRAIN_REMAINDERS = (1, 2, 3, 4)
 
+#: Workers' caches remember no key longer than this, so entries bound their memory too.
+CACHE_KEY = 64
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

@@ -3,8 +3,8 @@
 A short general list of insults is joined by a lexicon learned from the training labels: words
 and word beginnings that toxic documents hold far more often than others. Tokens are also read
 with disguises undone (look-alikes, digits for letters, masked or stretched letters, letters
-spaced out). The features are rates, so a text's length does not matter, and the whole text
-counts. Lexicon features of training rows come from the other fold's lexicon, and the
+spaced out). Most features are rates over the whole text; its length and its number of matches
+come in as logarithms. Lexicon features of training rows come from the other fold's lexicon, and the
 calibration is fitted on log odds of trees that did not see the row.
 """
 
@@ -19,15 +19,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glosspark.llm.common import Written, map_arrow, map_batches, remainder, utf8
+from glosspark.llm.common import CACHE_KEY, Written, decoded, map_arrow, map_batches, remainder, text_of, utf8
 from glosspark.llm.learning import Isotonic, Trees, training_rows
 from glosspark.llm.pii import LOOK_ALIKES
 
-#: At most so many labelled rows are learned from, and so many lexicon terms kept.
-TRAIN_ROWS, TERMS = 12_000, 4_000
+#: At most so many labelled rows are learned from; they bound the lexicon too, which keeps every term that marks toxic ones.
+TRAIN_ROWS = 12_000
+#: A term marks toxic documents from so many of them on, as a number and a share, and from these log odds.
+TERM_DOCS, TERM_SHARE, TERM_ODDS = 3, 0.003, 4.0
+#: Tokens that a worker remembers.
 CACHE_SIZE = 250_000
 STEMS = (4, 5, 6, 7)
 SEEDS = frozenset(
@@ -47,7 +50,7 @@ _MIXED = re.compile(r"[^\W\d_][\d@$!*#|]+[^\W\d_]")
 HIT, HIDDEN, YOU, CAPS, MIXED, STRETCHED, SEED, STRONG, SINGLE, DOTTED = (1 << k for k in range(10))
 _EDGES = string.punctuation.replace("$", "").replace("@", "") + "…“”«»„‘’¡¿–—"
 FEATURES = (
-    "words hits hidden strong seeds you near caps mixed stretched spaced any_hits any_strong upper exclaim question punctuation digits accents run".split()
+    "words hits hidden strong seeds you near caps mixed stretched spaced any_hits any_strong upper exclaim question punctuation digits accents".split()
 )
 
 
@@ -130,13 +133,14 @@ class Flags(dict):
                     hidden = HIDDEN
             if found:
                 flag |= HIT | hidden | (SEED if found in SEEDS else 0) | (STRONG if found in self.lexicon.strong else 0)
-        if len(self) >= CACHE_SIZE:
-            self.clear()
-        self[token] = flag
+        if len(token) <= CACHE_KEY:
+            if len(self) >= CACHE_SIZE:
+                self.clear()
+            self[token] = flag
         return flag
 
     def features(self, raw: bytes | None) -> list[float]:
-        text = raw.decode() if raw else ""
+        text = text_of(raw) if raw else ""
         words = text.split()
         n = max(len(words), 1)
         flags = np.frombuffer(array("H", map(self.__getitem__, words)), np.uint16) if words else np.zeros(0, np.uint16)
@@ -157,7 +161,7 @@ class Flags(dict):
         punct = sizes[33:48].sum() + sizes[58:65].sum() + sizes[91:97].sum() + sizes[123:127].sum()
         return [
             math.log1p(n), 100 * hits / n, 100 * count(HIDDEN) / n, 100 * strong / n, 100 * count(SEED) / n, 100 * count(YOU) / n, 100 * near / n, count(CAPS) / n, count(MIXED) / n, count(STRETCHED) / n,
-            float(spaced), min(hits + spaced, 6.0), min(strong + spaced, 6.0), sizes[65:91].sum() / c, sizes[33] / c, sizes[63] / c, punct / c, sizes[48:58].sum() / c, sizes[128:].sum() / c, float(np.log1p(hits)),
+            float(spaced), math.log1p(hits + spaced), math.log1p(strong + spaced), sizes[65:91].sum() / c, sizes[33] / c, sizes[63] / c, punct / c, sizes[48:58].sum() / c, sizes[128:].sum() / c,
         ]
 
 
@@ -172,12 +176,12 @@ def learn_lexicon(rows: list[tuple[str, int, int, int]], totals: dict[int, tuple
             s[1] += b
     weights, strong = {}, set()
     for term, (a, b) in seen.items():
-        if a < max(3, 0.003 * n1):
+        if a < max(TERM_DOCS, TERM_SHARE * n1):
             continue
         odds = math.log((a + 0.5) / (n1 - a + 0.5)) - math.log((b + 0.5) / (n0 - b + 0.5))
-        if odds > 4:
+        if odds > TERM_ODDS:
             weights[term] = odds
-            if a >= max(3, 0.015 * n1):
+            if a >= max(TERM_DOCS, 5 * TERM_SHARE * n1):
                 strong.add(term)
     return Lexicon(weights, frozenset(strong))
 
@@ -206,7 +210,14 @@ def _features(rows: DataFrame, pick) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return np.array(got.column("x").to_pylist(), float).reshape(-1, len(FEATURES)), got.column("y").to_numpy().astype(float), got.column("fold").to_numpy()
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, terms: int = TERMS) -> Model:
+def _marks(totals: dict[int, tuple[int, int]], folds: tuple[int, ...]) -> Column:
+    """What ``learn_lexicon`` asks of a term, so that no other one reaches the driver."""
+    n1, n0 = (float(sum(totals.get(f, (0, 0))[k] for f in folds)) for k in (0, 1))
+    a, b = (sum((F.col(f"{c}{f}") for f in folds[1:]), F.col(f"{c}{folds[0]}")) for c in "ab")
+    return (a >= max(TERM_DOCS, TERM_SHARE * n1)) & (F.log((a + 0.5) / (n1 - a + 0.5)) - F.log((b + 0.5) / (n0 - b + 0.5)) > TERM_ODDS - 1e-6)
+
+
+def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
     """Learn from at most ``train_rows`` labelled rows. Without rows of both labels every score is their rate."""
     written = Written(training_rows(docs, labels, "toxic", train_rows), "toxic")
     rows = written.df
@@ -214,15 +225,15 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, terms:
     def count(batches):
         sides = [Counter() for _ in range(4)]  # others and toxic of fold 0, then of fold 1
         for b in batches:
-            for y, f, text in zip(b.column("y").to_pylist(), b.column("fold").to_pylist(), b.column("text").to_pylist()):
+            for y, f, text in zip(b.column("y").to_pylist(), b.column("fold").to_pylist(), decoded(b.column("text"))):
                 sides[2 * f + y].update({t for w in set(text.split()) for t in terms_of(w)})
         some = list({*sides[1], *sides[3], *sides[0], *sides[2]})
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), *[pa.array([c[t] for t in some], pa.int64()) for c in sides]], names=["t", "b0", "a0", "b1", "a1"])
 
     totals = {r[0]: (r[1], r[2]) for r in rows.groupBy("fold").agg(F.count_if(F.col("y") == 1), F.count_if(F.col("y") == 0)).collect()}
     counts = map_arrow(rows.select("y", "fold", "text"), count, "t string, b0 bigint, a0 bigint, b1 bigint, a1 bigint")
-    summed = counts.groupBy("t").agg(*[F.sum(c).alias(c) for c in ("b0", "a0", "b1", "a1")]).where("a0 + a1 >= 3 and b0 + b1 <= (a0 + a1) / 2")
-    best = summed.orderBy(F.desc(F.col("a0") + F.col("a1")), "t").limit(terms).collect()
+    summed = counts.groupBy("t").agg(*[F.sum(c).alias(c) for c in ("b0", "a0", "b1", "a1")])
+    best = summed.where(_marks(totals, (0,)) | _marks(totals, (1,)) | _marks(totals, (0, 1))).collect()
     found = [(r["t"], f, r[f"a{f}"], r[f"b{f}"]) for r in best for f in (0, 1)]
     across = {f: learn_lexicon(found, totals, (1 - f,)) for f in (0, 1)}
     x, y, fold = _features(rows, across.__getitem__)
@@ -235,7 +246,8 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, terms:
 
 
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, held_out, score) of every row; null and empty texts are scored as no words.
+    """(doc_id, held_out, score) of every row; null and empty texts are scored as no words, bytes
+    that are not UTF-8 as U+FFFD.
 
     ``held_out`` is false for a null id. Repeated rows each get a row; other columns are not read.
     """
