@@ -1,13 +1,12 @@
 """Quality: a byte-level convolutional network in numpy.
 
-Bytes are embedded; filters of eight bytes slide by four over the text, so neighbours overlap,
+Bytes are embedded; learned filters of eight bytes slide by four over the text, so neighbours overlap,
 and each gives its maximum over every chunk of 512 bytes. Chunks start every 256 bytes and so
-cover the whole document twice. One more channel pools how far the chunk repeats itself: the
-largest share of bytes equal to the byte some lag before. A document's probability is logistic
-in the mean and maximum of its chunks' pooled channels.
+cover the whole document twice. A document's probability is logistic in the mean and maximum of
+its chunks' pooled channels; nothing else goes in.
 
-Filters are trained by Adam on sampled chunks of a bounded number of labelled rows; the last
-layer is then fitted again on whole documents.
+Filters are trained by Adam on sampled chunks of a bounded number of labelled rows, which bounds the
+driver's memory; the last layer is then fitted again on whole documents.
 """
 
 from __future__ import annotations
@@ -23,40 +22,23 @@ from glosspark.llm.common import Written, map_arrow, map_batches, remainder, utf
 from glosspark.llm.learning import training_rows
 
 #: At most so many labelled rows are learned from, with so many chunks of each for the filters.
-TRAIN_ROWS, TRAIN_CHUNKS = 4_000, 8
-DIM, FILTERS, STEP, WIDTH, HALF = 8, 16, 4, 8, 256
-LAGS = range(2, 33)
-CHANNELS = FILTERS + 1
+TRAIN_ROWS, TRAIN_CHUNKS = 12_000, 8
+DIM, FILTERS, STEP, WIDTH, HALF = 8, 32, 4, 8, 256
 SPAN = 2 * HALF + WIDTH - STEP  # bytes that a chunk's windows touch
 
 
-def repetition(b: np.ndarray, halves: int) -> np.ndarray:
-    """Per half chunk the largest share over the lags of bytes equal to the byte a lag before."""
-    if len(b) <= LAGS[-1]:
-        return np.zeros(halves, np.float32)
-    top = np.zeros(halves, np.int64)
-    same = np.zeros(halves * HALF, np.uint8)
-    for lag in LAGS:
-        same[:] = 0
-        np.equal(b[lag:], b[:-lag], out=same[lag : len(b)].view(bool))
-        np.maximum(top, same.reshape(halves, HALF).sum(axis=1, dtype=np.int64), out=top)
-    size = np.full(halves, HALF)
-    size[-1] = max(1, len(b) - (halves - 1) * HALF) if (halves - 1) * HALF < len(b) else HALF
-    return (top / np.maximum(size, 64)).astype(np.float32)
-
-
 @dataclass
 class Net:
     embed: np.ndarray  # 256 x DIM
     filters: np.ndarray  # WIDTH * DIM x FILTERS
     bias: np.ndarray
-    last: np.ndarray  # 2 * CHANNELS
+    last: np.ndarray  # 2 * FILTERS
     offset: float
 
     def halves(self, b: np.ndarray) -> np.ndarray:
         """Pooled channels of each half chunk of a text (zero bytes follow its end)."""
         n = max(2, -(-len(b) // HALF))
-        out = np.empty((n, CHANNELS), np.float32)
+        out = np.empty((n, FILTERS), np.float32)
         cut = STEP * DIM
         block = 512  # half chunks at once: memory does not follow the text's length
         for s in range(0, n, block):
@@ -66,8 +48,7 @@ class Net:
             own[: len(part)] = part
             x = self.embed[own].reshape(-1, cut)
             z = x[:-1] @ self.filters[:cut] + x[1:] @ self.filters[cut:]
-            out[s:e, :FILTERS] = np.maximum(z.reshape(e - s, HALF // STEP, FILTERS).max(axis=1) + self.bias, 0)
-        out[:, FILTERS] = repetition(b, n)
+            out[s:e] = np.maximum(z.reshape(e - s, HALF // STEP, FILTERS).max(axis=1) + self.bias, 0)
         return out
 
     def pooled(self, raw: bytes | None) -> np.ndarray:
@@ -79,25 +60,24 @@ class Net:
         return 1 / (1 + np.exp(-np.clip(pooled @ self.last + self.offset, -30, 30)))
 
 
-def sample_chunks(raw: bytes, most: int = TRAIN_CHUNKS) -> tuple[bytes, list[float]]:
-    """Up to ``most`` chunks spread evenly over a text (bytes, zero-padded) and their repetition."""
+def sample_chunks(raw: bytes, most: int = TRAIN_CHUNKS) -> bytes:
+    """Up to ``most`` chunks spread evenly over a text (bytes, zero-padded)."""
     b = np.frombuffer(raw, np.uint8)
     halves = max(2, -(-len(b) // HALF))
-    rep = repetition(b, halves)
     at = np.unique(np.linspace(0, halves - 2, min(most, halves - 1)).round().astype(int))
     own = np.zeros((len(at), SPAN), np.uint8)
     for row, k in zip(own, at):
         part = b[k * HALF : k * HALF + SPAN]
         row[: len(part)] = part
-    return own.tobytes(), [float(max(rep[k], rep[k + 1])) for k in at]
+    return own.tobytes()
 
 
-def train(chunks: list[np.ndarray], reps: list[np.ndarray], y: np.ndarray, steps: int = 400, batch: int = 64, rate: float = 0.01, seed: int = 0) -> Net:
+def train(chunks: list[np.ndarray], y: np.ndarray, steps: int = 400, batch: int = 64, rate: float = 0.01, seed: int = 0) -> Net:
     """Filters from documents' sampled chunks (k x SPAN bytes each); both labels get equal weight."""
     rng = np.random.default_rng(seed)
     p = {
         "embed": rng.normal(0, 0.5, (256, DIM)).astype(np.float32), "filters": rng.normal(0, 0.2, (WIDTH * DIM, FILTERS)).astype(np.float32),
-        "bias": np.zeros(FILTERS, np.float32), "last": rng.normal(0, 0.1, 2 * CHANNELS).astype(np.float32), "offset": np.zeros(1, np.float32),
+        "bias": np.zeros(FILTERS, np.float32), "last": rng.normal(0, 0.1, 2 * FILTERS).astype(np.float32), "offset": np.zeros(1, np.float32),
     }
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
     sides = [np.flatnonzero(y == v) for v in (0, 1)]
@@ -113,26 +93,25 @@ def train(chunks: list[np.ndarray], reps: list[np.ndarray], y: np.ndarray, steps
         arg = z.argmax(axis=1)
         rows = np.arange(n)[:, None]
         pre = z[rows, arg, np.arange(FILTERS)] + p["bias"]
-        u = np.concatenate((np.maximum(pre, 0), np.concatenate([reps[i] for i in docs])[:, None].astype(np.float32)), 1)
+        u = np.maximum(pre, 0)
         counts = np.diff(np.append(first, n))[:, None]
         mean, top = np.add.reduceat(u, first) / counts, np.maximum.reduceat(u, first)
         logit = np.concatenate((mean, top), 1) @ p["last"] + p["offset"]
         err = ((1 / (1 + np.exp(-np.clip(logit, -30, 30)))) - y[docs]).astype(np.float32) / len(docs)
         pooled = np.concatenate((mean, top), 1)
         grad = {"last": pooled.T @ err + 1e-4 * p["last"], "offset": err.sum(keepdims=True)}
-        du = (err[:, None] * p["last"][:CHANNELS] / counts)[of]
+        du = (err[:, None] * p["last"][:FILTERS] / counts)[of]
         is_top = u == top[of]
         ties = np.add.reduceat(is_top, first, dtype=np.float32)[of]
-        du = du + is_top / ties * (err[:, None] * p["last"][CHANNELS:])[of]
-        dz = du[:, :FILTERS] * (pre > 0)
+        du = du + is_top / ties * (err[:, None] * p["last"][FILTERS:])[of]
+        dz = du * (pre > 0)
         grad["bias"] = dz.sum(axis=0)
-        a, b = x[rows, arg], x[rows, arg + 1]  # n x FILTERS x cut
-        grad["filters"] = np.concatenate((np.einsum("nfc,nf->cf", a, dz), np.einsum("nfc,nf->cf", b, dz)))
-        de = np.zeros_like(p["embed"])
-        for k in range(WIDTH):
+        grad["filters"], grad["embed"] = np.empty_like(p["filters"]), np.zeros_like(p["embed"])
+        for k in range(WIDTH):  # a byte's share of a filter's gradient, by byte and filter
             byte = own[rows, arg * STEP + k]
-            np.add.at(de, byte.ravel(), (dz[:, :, None] * p["filters"][k * DIM : (k + 1) * DIM].T[None]).reshape(-1, DIM))
-        grad["embed"] = de
+            de = np.bincount((byte.astype(np.int64) * FILTERS + np.arange(FILTERS)).ravel(), dz.ravel(), 256 * FILTERS).reshape(256, FILTERS).astype(np.float32)
+            grad["filters"][k * DIM : (k + 1) * DIM] = p["embed"].T @ de
+            grad["embed"] += de @ p["filters"][k * DIM : (k + 1) * DIM].T
         for k, g in grad.items():
             m, v = moment[k]
             m += 0.1 * (g - m)
@@ -169,11 +148,11 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Net
     def cut(batches):
         for b in batches:
             got = [sample_chunks(raw) for raw in utf8(b.column("text"))]
-            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.binary()), pa.array([g[1] for g in got], pa.list_(pa.float64())), b.column("y"), b.column("doc_id").cast(pa.int64())], names=["c", "r", "y", "i"])
+            yield pa.RecordBatch.from_arrays([pa.array(got, pa.binary()), b.column("y"), b.column("i")], names=["c", "y", "i"])
 
-    got = map_arrow(written.df.select("doc_id", "text", "y"), cut, "c binary, r array<double>, y int, i bigint").toArrow().sort_by("i")
+    got = map_arrow(written.df.select(F.col("doc_id").cast("string").alias("i"), "text", "y"), cut, "c binary, y int, i string").toArrow().sort_by("i")
     chunks = [np.frombuffer(c, np.uint8).reshape(-1, SPAN) for c in got.column("c").to_pylist()]
-    net = train(chunks, [np.array(r) for r in got.column("r").to_pylist()], got.column("y").to_numpy().astype(np.float32))
+    net = train(chunks, got.column("y").to_numpy().astype(np.float32))
     sent = docs.sparkSession.sparkContext.broadcast(net)
 
     def pool(batches):
@@ -182,13 +161,14 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Net
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), b.column("y")], names=["x", "y"])
 
     got = map_arrow(written.df.select("text", "y"), pool, "x array<double>, y int").toArrow()
-    net.last, net.offset = refit(np.array(got.column("x").to_pylist(), float).reshape(-1, 2 * CHANNELS), got.column("y").to_numpy().astype(float))
+    net.last, net.offset = refit(np.array(got.column("x").to_pylist(), float).reshape(-1, 2 * FILTERS), got.column("y").to_numpy().astype(float))
     written.drop()
     return net
 
 
 def score(docs: DataFrame, net: Net, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, held_out, score) of every row's whole text; a null or empty text is one chunk of zeros.
+    Bytes are read as they are, UTF-8 or not.
 
     ``held_out`` is false for a null id. Repeated rows each get a row; other columns are not read.
     """
@@ -197,7 +177,7 @@ def score(docs: DataFrame, net: Net, doc_id: str = "doc_id", text: str = "text")
 
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            x = np.array([sent.value.pooled(raw) for raw in utf8(batch.column("text"))], float).reshape(-1, 2 * CHANNELS)
+            x = np.array([sent.value.pooled(raw) for raw in utf8(batch.column("text"))], float).reshape(-1, 2 * FILTERS)
             return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sent.value.probability(x))], names=["doc_id", "score"])
 
         return work
