@@ -11,6 +11,7 @@ its open windows only.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections import defaultdict
@@ -22,12 +23,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glosspark.llm.common import map_arrow, utf8
+from glosspark.llm.common import CACHE_KEY, map_arrow, text_of, utf8
 from glosspark.llm.token_counts import model_path
 
 MODEL = "word_bpe_49k.json"
 WINDOW, END_ID = 4096, 2
-#: Entries of a worker's cache from blank-separated chunk to ids (some 120 MB); it starts afresh when full.
+#: Entries of a worker's cache from blank-separated chunk to ids (some 120 MB); long chunks stay out, and it starts afresh when full.
 CACHE_SIZE = 600_000
 SCHEMA = "doc_id {id}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
@@ -54,39 +55,61 @@ class WordIds(dict):
     def __missing__(self, word: str) -> bytes:
         letters = word.encode().decode("latin-1").translate(self.letters)
         ids = np.array([t.id for t in self.model.tokenize(letters)], "<u4").tobytes()
-        if len(self) >= self.most:
-            self.clear()
-        self[word] = ids
+        if len(word) <= CACHE_KEY:
+            if len(self) >= self.most:
+                self.clear()
+            self[word] = ids
         return ids
 
 
 class ChunkIds(dict):
     """Ids (little-endian uint32 bytes) of a chunk of UTF-8 without ASCII white space.
 
-    The vocabulary's rules never join text across white space, so a document's ids are those of
-    its chunks one after another. ``words`` serves printable Latin-1 chunks; others, and special
+    Where the vocabulary's rules never join text across white space, which is checked, a document's
+    ids are those of its chunks one after another; else the whole text goes to the tokenizer. ``words`` serves printable Latin-1 chunks; others, and special
     strings, go to the tokenizer itself.
     """
 
     def __init__(self, tokenizer, most: int = CACHE_SIZE, by_word: bool = False):
         super().__init__()
+        self.apart = separable(tokenizer)
         self.tokenizer, self.most, self.words = tokenizer, most, WordIds(tokenizer.model, most // 2) if by_word else None
 
     def __missing__(self, raw: bytes) -> bytes:
-        chunk = raw.decode()
+        chunk = text_of(raw)
         if self.words is not None and _LATIN.fullmatch(chunk) and "<|" not in chunk:
             ids = b"".join(map(self.words.__getitem__, _SPLIT.findall(chunk.lower())))
         else:
             ids = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self) >= self.most:
-            self.clear()
-        self[raw] = ids
+        if len(raw) <= CACHE_KEY:
+            if len(self) >= self.most:
+                self.clear()
+            self[raw] = ids
         return ids
 
     def ids(self, text: bytes) -> bytes:
+        if not self.apart:
+            return np.array(self.tokenizer.encode(text_of(text), add_special_tokens=False).ids, "<u4").tobytes()
         return b"".join(map(self.__getitem__, text.split()))
 
 
+def separable(tokenizer) -> bool:
+    """Whether a text's ids are those of its chunks between ASCII white space: the first split drops
+    what it does not match, it never matches white space, and no special string has or strips any."""
+    made = json.loads(tokenizer.to_str())
+    first = made["pre_tokenizer"] or {}
+    first = first["pretokenizers"][0] if first.get("type") == "Sequence" else first
+    kept = [n for n in [made["normalizer"]] if n]
+    kept = [x for n in kept for x in (n["normalizers"] if n["type"] == "Sequence" else [n])]
+    plain = all(n["type"] in ("NFC", "Lowercase") or n == {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "} for n in kept)
+    if not plain or first.get("type") != "Split" or first.get("behavior") != "Removed" or not first.get("invert"):
+        return False
+    if any(t["lstrip"] or t["rstrip"] or t["content"].split() != [t["content"]] for t in made["added_tokens"]):
+        return False
+    probe = " ".join(a + blank + b for blank in " \t\n\r\x0b\x0c" for a in "a1.'é数" for b in "a1.'é数")
+    return not any(probe[s:e].split() != [probe[s:e]] for _, (s, e) in tokenizer.pre_tokenizer.pre_tokenize_str(probe))
+
+
 class Packer:
     """Windows of one task. A piece is (row, start, ids); ``closed`` has the finished sequences."""
 
@@ -176,8 +199,8 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: str
     """Pieces of all rows' ids: (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset).
 
     A null or empty text has the end id alone (no row without one). Repeated rows and null ids are
-    documents of their own. Other columns are not read. An empty table gives no rows.
-    ``sequence_id`` is the task's number times 2^33 plus a count within it.
+    documents of their own. Bytes that are not UTF-8 are read as U+FFFD. Other columns are not read.
+    An empty table gives no rows. ``sequence_id`` is the task's number times 2^33 plus a count within it.
     """
     picked = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     kind = picked.schema["doc_id"].dataType.simpleString()

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glosspark.llm.common import map_batches, utf8
+from glosspark.llm.common import CACHE_KEY, map_batches, text_of, utf8
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
@@ -68,10 +68,11 @@ class Lengths(dict):
             n = len(self.processor.encode(key)) - 1  # without the word mark that encode puts first
         else:
             n = len(self.processor.encode(key)) if key else 1  # a lone word mark
-        if len(self) >= self.most:
-            self.clear()
-            self.update(self.frequent)
-        self[key] = n
+        if len(key) <= CACHE_KEY:
+            if len(self) >= self.most:
+                self.clear()
+                self.update(self.frequent)
+            self[key] = n
         return n
 
     def count(self, text: str) -> int:
@@ -97,10 +98,10 @@ def frequent_table(docs: DataFrame, text: str, model: str, rows: int = TABLE_ROW
     the hit rate only: every count comes from the library, here or in a worker.
     """
     c, lengths = Counter(), Lengths(load(model), {}, size)
-    few = docs.select(F.col(f"`{text}`").cast("string").alias("t")).where(F.octet_length("t") < 1 << 16).limit(rows)
+    few = docs.select(F.col(f"`{text}`").cast("string").cast("binary").alias("t")).where(F.octet_length("t") < 1 << 16).limit(rows)
     for row in few.collect():  # an incremental take; toArrow would bring every partition's first rows together
-        c.update(pre_tokens(row[0]))
-    top = [w for w, _ in c.most_common(size) if "\x00" not in w]
+        c.update(pre_tokens(text_of(row[0])))
+    top = [w for w, _ in c.most_common(size) if "\x00" not in w and len(w) <= CACHE_KEY]
     return zlib.compress("\x00".join(top).encode() + b"\x01\x00" + ",".join(str(lengths[w]) for w in top).encode())
 
 
@@ -113,8 +114,8 @@ _loaded: dict[str, object] = {}
 
 
 def count_tokens(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: str = MODEL, table_rows: int = TABLE_ROWS) -> DataFrame:
-    """(doc_id, n_bytes, n_tokens) of every row; a null or empty text has 0 of both. Repeated rows,
-    null ids and other columns are kept apart: one row out for each row in, in place."""
+    """(doc_id, n_bytes, n_tokens) of every row; a null or empty text has 0 of both; bytes that
+    are not UTF-8 count as they are and are read as U+FFFD. Repeated rows, null ids and other columns are kept apart: one row out for each row in, in place."""
     blob = docs.sparkSession.sparkContext.broadcast(frequent_table(docs, text, model, table_rows))
     picked = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
 
@@ -128,7 +129,7 @@ def count_tokens(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mo
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             raw = utf8(batch.column("text"))
             count = (lambda t: len(processor.encode(t))) if whole else lengths.count
-            n = [count(t.decode()) if t else 0 for t in raw]
+            n = [count(text_of(t)) if t else 0 for t in raw]
             return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(t) if t else 0 for t in raw], pa.int64()), pa.array(n, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
         return work

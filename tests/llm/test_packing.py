@@ -38,6 +38,25 @@ def test_pieces_against_the_library(docs):
     assert all(n == 4096 or n & (n - 1) == 0 for n in full)
 
 
+def test_other_vocabularies_and_bytes_that_are_no_text(spark, docs):
+    assert packing.chunk_ids(packing.MODEL).apart and not packing.chunk_ids("byte_bpe_50k.json").apart
+    tk = Tokenizer.from_file(model_path("byte_bpe_50k.json"))
+    rows = [(1, "two  words\n and more "), (2, " x" * 900), (3, "")]
+    got = defaultdict(int)
+    for r in packing.pack(docs(rows), model="byte_bpe_50k.json", window=64, end_id=None).collect():
+        got[r.doc_id] += r.length
+    assert got == {i: len(tk.encode(t, add_special_tokens=False).ids) for i, t in rows if t}
+    odd = spark.sql("SELECT 1L AS doc_id, CAST(X'61FF2062' AS STRING) AS text")
+    want = Tokenizer.from_file(model_path(packing.MODEL)).encode("a\ufffd b", add_special_tokens=False).ids + [2]
+    assert sum(r.length for r in packing.pack(odd).collect()) == len(want)
+
+
+def test_long_chunks_stay_out_of_the_cache():
+    ids = packing.ChunkIds(Tokenizer.from_file(model_path(packing.MODEL)), by_word=True)
+    ids.ids(b"short " + b"x" * 500 + b" " + "数".encode() * 300)
+    assert set(ids) == {b"short"} and max(map(len, ids.words)) <= 64
+
+
 def test_empty_table(docs):
     assert packing.pack(docs([])).collect() == []
 

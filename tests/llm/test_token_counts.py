@@ -24,6 +24,18 @@ def test_full_cache_starts_afresh():
     assert len(lengths) <= 4
 
 
+def test_bytes_that_are_no_text(spark):
+    df = spark.sql("SELECT 1L AS doc_id, CAST(X'61FF2062' AS STRING) AS text")
+    got = tc.count_tokens(df).first()
+    assert (got.n_bytes, got.n_tokens) == (4, len(tc.load(tc.MODEL).encode("a\ufffd b")))
+
+
+def test_long_keys_stay_out_of_the_cache():
+    lengths = tc.Lengths(tc.load(tc.MODEL), {})
+    lengths.count("short " + "x" * 500)
+    assert set(lengths) == {"short"}
+
+
 def test_empty_table(docs):
     assert tc.count_tokens(docs([])).collect() == []
 
