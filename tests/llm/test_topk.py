@@ -7,7 +7,7 @@ from glosspark.llm import topk
 
 
 def brute(rows, k=5):
-    rows = {(i, tuple(math.floor(256 * float(np.float32(x))) for x in v)) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)}
+    rows = [(i, tuple(math.floor(256 * float(np.float32(x))) for x in v)) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
     out = []
     for i, v in rows:
         if i % 50 == 0:
@@ -19,7 +19,7 @@ def brute(rows, k=5):
 def data():
     rng = np.random.default_rng(0)
     rows = [(i, [float(x) for x in np.float32(rng.normal(0, 0.2, 6)) * (rng.random(6) < 0.7)]) for i in range(160)]
-    rows += [(200, None), (250, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (300, [float("nan")] * 6), (350, [float("inf")] + [0.0] * 5), (None, [1.0] * 6), (400, []), (450, [0.5, 0.5]), (451, [0.1, -0.2]), (7, rows[7][1]), (500, [0.0] * 6), (501, rows[1][1])]
+    rows += [(200, None), (250, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (300, [float("nan")] * 6), (350, [float("inf")] + [0.0] * 5), (None, [1.0] * 6), (400, []), (450, [0.5, 0.5]), (451, [0.1, -0.2]), (7, rows[7][1]), (7, rows[7][1]), (100, rows[100][1]), (500, [0.0] * 6), (501, rows[1][1])]
     return rows
 
 
@@ -28,7 +28,19 @@ def test_against_brute_force(spark):
     rows = topk.quantised(df)
     asked = rows.where("vec_id % 50 = 0")
     assert sorted(map(tuple, topk.top_k(rows, asked, 5).collect())) == brute(data())
-    assert sorted(map(tuple, topk.top_k(rows, asked, 3, block_queries=2).collect())) == brute(data(), 3)
+    assert sorted(map(tuple, topk.top_k(rows, asked, 3, block_bytes=100).collect())) == brute(data(), 3)
+
+
+def test_one_block_reads_the_candidates_once(spark, sf):
+    rows = topk.quantised(spark.read.parquet(f"{sf}/embeddings.parquet"))
+    plan = topk.top_k(rows, rows.where("vec_id % 50 = 0"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Join" not in plan and "Cartesian" not in plan
+
+
+def test_ids_that_are_no_integers(spark):
+    df = spark.createDataFrame([("0", [1.0]), ("x", [9.0]), ("1", [2.0])], "vec_id string, embedding array<double>")
+    rows = topk.quantised(df)
+    assert [tuple(r) for r in topk.top_k(rows, rows.where("vec_id = 0")).collect()] == [(0, 1, 1, 131072)]
 
 
 def test_few_and_none(spark):
