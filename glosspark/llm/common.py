@@ -59,19 +59,74 @@ def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[
 
 
 class Written:
-    """A table written to the shared folder, which cuts the lineage: a lost executor costs its running tasks only."""
+    """A table written to the shared folder, which cuts the lineage: a lost executor costs its running tasks only.
+
+    Tables are deleted by ``drop``, or when the driver ends; ``made`` lists those of this process that are left.
+    """
+
+    made: list[Written] = []
 
     def __init__(self, df: DataFrame, label: str):
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/{label}-{uuid.uuid4().hex}"
         df.write.parquet(self.path)
+        self._files().deleteOnExit(self._path())
+        Written.made.append(self)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
+    def _path(self):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+
+    def _files(self):
+        return self._path().getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
     def drop(self) -> None:
         """Delete the files, once nothing reads them any more."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        self._files().delete(self._path(), True)
+        if self in Written.made:
+            Written.made.remove(self)
+
+
+#: Rows to leave out are broadcast as bit maps up to this many bytes (of some two billion rows), and joined beyond.
+GONE_BYTES = 256 << 20
+_BITS = 8 * 4096  # of one bit map
+
+
+class Rows:
+    """Rows with an identity that outlives a job: where they stand in the Parquet files they are read from.
+
+    A frame that is not a plain read of Parquet files is written down first.
+    """
+
+    def __init__(self, df: DataFrame, label: str):
+        self.written = None if self._is_read(df) else Written(df, label)
+        self.df = df if self.written is None else self.written.df
+        end = "_" * max(map(len, df.columns))  # longer than any column's name
+        self.file, self.at = f"file{end}", f"at{end}"
+        self.columns = df.columns
+
+    @staticmethod
+    def _is_read(df: DataFrame) -> bool:
+        plan = df._jdf.queryExecution().analyzed()
+        return plan.getClass().getSimpleName() == "LogicalRelation" and "_metadata" not in df.columns and "row_index" in df.select("_metadata.*").columns
+
+    def marked(self) -> DataFrame:
+        """The rows with their file (hashed; two files are one with chance 2^-64) and place in it."""
+        return self.df.select("*", F.xxhash64("_metadata.file_path").alias(self.file), F.col("_metadata.row_index").alias(self.at))
+
+    def without(self, gone: DataFrame, most_bytes: int = GONE_BYTES) -> DataFrame:
+        """The rows but those whose (file, at) ``gone`` lists. No row is shuffled: what goes is a bit in a map of its
+        file's rows, and the maps are broadcast after their size is counted. More than ``most_bytes`` are joined."""
+        n = F.col(self.at) + 1
+        maps = gone.groupBy(self.file, F.bitmap_bucket_number(n).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(n)).alias("bits"))
+        written = Written(maps.select(F.col(self.file).alias("f"), "bucket", "bits"), "gone")
+        maps = written.df if written.df.count() * (_BITS // 8) > most_bytes else F.broadcast(written.df)
+        rows = self.marked()
+        joined = rows.join(maps, (rows[self.file] == maps["f"]) & (F.bitmap_bucket_number(rows[self.at] + 1) == maps["bucket"]), "left")
+        place = F.bitmap_bit_position(rows[self.at] + 1)
+        byte = F.conv(F.hex(F.substring(maps["bits"], F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        is_gone = F.getbit(byte, (place % 8).cast("int")) == 1
+        return joined.where(~F.coalesce(is_gone, F.lit(False))).select(*[rows[f"`{c}`"] for c in self.columns])
 
 
 def remainder(doc_id: Column) -> Column:

@@ -2,7 +2,7 @@ import subprocess
 import sys
 
 import corpus_pipeline as cp
-from glosspark.llm import decontam, packing, pii
+from glosspark.llm import common, decontam, packing, pii
 from glosspark.llm.common import table
 
 from .test_decontam import brute as windows_of
@@ -61,7 +61,7 @@ def test_the_rest_stands_without_llm(tmp_path):
         "import sys, importlib.abc\n"
         "class Gone(importlib.abc.MetaPathFinder):\n"
         "    def find_spec(self, name, path, target=None):\n"
-        "        if name == 'corpus_pipeline' or name.startswith('glosspark.llm'): raise ImportError(name)\n"
+        "        if name == 'corpus_pipeline' or name.startswith('glosspark.llm'): raise ModuleNotFoundError(name, name=name)\n"
         "sys.meta_path.insert(0, Gone())\n"
         "import __spark_entry__ as e\n"
         "assert 'quota_daily' in e.queries() and not any(n.startswith('op') and n[2].isdigit() for n in e.queries()) and 'pipeline' not in e.queries()\n"
@@ -70,6 +70,34 @@ def test_the_rest_stands_without_llm(tmp_path):
     subprocess.run([sys.executable, "-c", code], check=True, cwd=cp.__file__.rsplit("/", 1)[0], timeout=120)
 
 
+def test_absence_hides_nothing_else():
+    """Without the pipeline the operators stay; a library that is missing is a fault."""
+    finder = "import sys, importlib.abc\nclass Gone(importlib.abc.MetaPathFinder):\n    def find_spec(self, name, path, target=None):\n        if name == {0!r}: raise ModuleNotFoundError(name, name=name)\nsys.meta_path.insert(0, Gone())\n"
+    run = lambda code: subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=cp.__file__.rsplit("/", 1)[0], timeout=120)
+    alone = run(finder.format("corpus_pipeline") + "import __spark_entry__ as e\nq = e.queries()\nassert 'pipeline' not in q and 'op1_toxicity' in q and 'op3_warc_revisits' in e.oracle_sql()\n")
+    assert alone.returncode == 0, alone.stderr
+    fault = run(finder.format("xxhash") + "import __spark_entry__\n")
+    assert fault.returncode != 0 and "xxhash" in fault.stderr
+
+
+def test_texts_are_not_shuffled(spark, sf):
+    docs = table(spark, sf, "documents")
+    plan = cp.drop_near_duplicates(spark, docs, sf)._jdf.queryExecution().executedPlan().toString()
+    for line in plan.splitlines():
+        assert "Exchange hashpartitioning" not in line or "text#" not in line
+    assert plan.count("FileScan parquet") == 2 and "SortMergeJoin" not in plan
+
+
+def test_rows_beyond_the_maps_are_joined(spark, docs):
+    df = docs([(i, f"text {i}") for i in range(100)])
+    rows = common.Rows(df, "rows")
+    gone = rows.marked().where("doc_id % 3 = 0").select(rows.file, rows.at)
+    want = sorted((i, f"text {i}") for i in range(100) if i % 3)
+    for most in (1 << 20, 0):
+        assert sorted((r.doc_id, r.text) for r in rows.without(gone, most).collect()) == want
+    assert rows.without(gone.limit(0)).count() == 100
+
+
 def test_oracle_names():
     import __spark_entry__ as e
 
