@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glosspark.llm import decontam, packing, pii, simhash, toxicity
-from glosspark.llm.common import Written, table
+from glosspark.llm.common import Rows, Written, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,14 +17,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each SimHash component: that of the smallest id, null ids last.
 
-    Rows are numbered and written first, so rows of equal or no id are told apart for good.
+    Rows are told apart by their place in the files they are read from, so rows of equal or no id stay
+    apart; texts are read in place, and only the places of rows that go are dealt out.
     """
-    row = "row_" + "_" * max(map(len, docs.columns))  # no column's name
-    rows = Written(docs.withColumn(row, F.monotonically_increasing_id()), "rows").df
-    key = F.struct(F.col("doc_id").isNull().alias("nameless"), F.col("doc_id"), F.col(row))
-    found = simhash.near_duplicates(rows.select(key.alias("key"), "text"), doc_id="key")
-    kept = found.where("doc_id = component_id").select(F.col("doc_id")[row].alias(row))
-    return rows.join(kept, row, "left_semi").select(*docs.columns)
+    rows = Rows(docs, "rows")
+    key = F.struct(F.col("doc_id").isNull().alias("nameless"), F.col("doc_id"), F.col(rows.file).alias("file"), F.col(rows.at).alias("at"))
+    found = simhash.near_duplicates(rows.marked().select(key.alias("key"), "text"), doc_id="key")
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id.file").alias(rows.file), F.col("doc_id.at").alias(rows.at))
+    return rows.without(gone)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,9 +55,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
+        before = list(Written.made)
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = Written(docs, name).df
+            kept = Written(docs, name)
+            docs = kept.df
+            for done in list(Written.made):  # the stage's own tables and its input have no reader left
+                if done is last or done is not kept and done not in before:
+                    done.drop()
+            last = kept
     return docs
