@@ -53,11 +53,13 @@ def test_against_brute_force(spark, docs):
     assert any(r.contaminated for r in got) and not all(r.contaminated for r in got)
 
 
-def test_in_blocks(spark, docs):
+def test_joined_instead_of_broadcast(spark, docs):
     rows, items = corpus(1)
     bench = spark.createDataFrame(items, "item_id bigint, text string")
     got = d.digest(d.decontaminate(docs(rows), bench, block_bytes=300)).collect()
     assert sorted((tuple(r) for r in got), key=str) == brute(rows, items)
+    whole = {(r.doc_id, r.n_words): (r.hits, r.items) for r in d.decontaminate(docs(rows), bench).collect()}
+    assert whole == {(r.doc_id, r.n_words): (r.hits, r.items) for r in d.decontaminate(docs(rows), bench, block_bytes=300).collect()}
     kept = d.reject_contaminated(docs(rows), bench, block_bytes=300)
     want = [r for r in brute(rows, items) if not r[5]]
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(w[0]) for w in want)
@@ -68,3 +70,21 @@ def test_empty_tables(spark, docs):
     none = spark.createDataFrame([], "item_id bigint, text string")
     assert d.decontaminate(docs([]), none).collect() == []
     assert [tuple(r) for r in d.digest(d.decontaminate(docs([(1, "a b")]), none)).collect()] == [(1, 2, 0, 0, d.sha256_of([]), False)]
+
+
+def test_ids_that_are_strings_and_bytes_that_are_no_text(spark, docs):
+    bench = spark.createDataFrame([("q1", "one two three"), ("q2", "four")], "item_id string, text string")
+    df = spark.sql("SELECT 'd' AS doc_id, CAST(X'6F6E652074776F2074687265652061FF' AS STRING) AS text")
+    for most in (d.BLOCK_BYTES, 5):
+        got = d.decontaminate(df, bench, block_bytes=most).first()
+        assert (got.n_words, [tuple(h) for h in got.hits], got["items"]) == (4, [(0, 3)], ["q1"])
+        assert d.reject_contaminated(df, bench, block_bytes=most).count() == 0
+
+
+def test_many_copies_of_a_passage(spark, docs):
+    passage = " ".join(f"w{k}" for k in range(12))
+    rows = [(i, passage if i % 3 == 0 else f"other text number {i}") for i in range(3000)]
+    bench = spark.createDataFrame([(k, f"item {k} " + (passage if k < 3 else " ".join(f"x{k}y{j}" for j in range(30)))) for k in range(60)], "item_id bigint, text string")
+    for most in (d.BLOCK_BYTES, 100):
+        got = d.digest(d.decontaminate(docs(rows), bench, block_bytes=most)).groupBy("n_hit", "n_items").count().collect()
+        assert sorted(map(tuple, got)) == [(0, 0, 2000), (12, 3, 1000)]
