@@ -65,12 +65,12 @@ ORACLE_SQL = {
     "op3_warc_revisits": r"""
 WITH p AS (
   SELECT page_id, md5(html) AS tag, octet_length(encode(html)) AS size,
-         regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^https?://(www[.])?', '', 'i') AS bare
+         regexp_replace(regexp_replace(trim(url), '(?s)#.*$', ''), '^https?://(www[.])?', '', 'i') AS bare
   FROM pages),
 c AS (
   SELECT page_id, tag, size,
          regexp_replace(lower(regexp_extract(bare, '^([^/?]*)', 1)), ':(80|443)$', '') ||
-         regexp_replace(regexp_extract(bare, '^[^/?]*(.*)$', 1), '/+$', '') AS url
+         regexp_replace(regexp_extract(bare, '^[^/?]*([^?]*)', 1), '/+$', '') || regexp_extract(bare, '(?s)^[^?]*(.*)$', 1) AS url
   FROM p),
 j AS (
   SELECT r.page_id, r.url, r.tag, f.page_id AS base, f.tag AS base_tag, f.size,

@@ -21,10 +21,10 @@ BUCKETS = 1_024
 
 
 def canonical_url(url: Column) -> Column:
-    """Host lower-cased without ``www.`` or default port, no scheme, fragment, or slash at the end."""
-    bare = F.regexp_replace(F.regexp_replace(F.trim(url), "#.*$", ""), "(?i)^https?://(www[.])?", "")
-    host, rest = F.regexp_extract(bare, "^([^/?]*)", 1), F.regexp_extract(bare, "^[^/?]*(.*)$", 1)
-    return F.concat(F.regexp_replace(F.lower(host), ":(80|443)$", ""), F.regexp_replace(rest, "/+$", ""))
+    """Host lower-cased without ``www.`` or default port, no scheme, fragment, or slash at the path's end; a query as it is."""
+    bare = F.regexp_replace(F.regexp_replace(F.trim(url), "(?s)#.*$", ""), "(?i)^https?://(www[.])?", "")
+    host, path, asked = (F.regexp_extract(bare, "(?s)^([^/?]*)([^?]*)(.*)$", k) for k in (1, 2, 3))
+    return F.concat(F.regexp_replace(F.lower(host), ":(80|443)$", ""), F.regexp_replace(path, "/+$", ""), asked)
 
 
 def _tag(etag: Column) -> Column:
@@ -58,7 +58,9 @@ def resolve_revisits(records: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     carried = carried.select("url", "b", F.last("e", ignorenulls=True).over(earlier).alias("carry"))
     within = Window.partitionBy("url", "b").orderBy("ts").rowsBetween(Window.unboundedPreceding, -1)
     seen = placed.withColumn("p", F.last("r", ignorenulls=True).over(within)).join(carried, ["url", "b"]).select("url", "ts", F.coalesce("p", "carry").alias("base"))
-    out = asked.join(seen, ["url", "ts"], "left")
+    placeless = F.col("url").isNull() | F.col("ts").isNull()
+    alone = asked.where(placeless).withColumn("base", F.lit(None).cast(best.schema["r"].dataType))  # orphans, not dealt out by their null key
+    out = asked.where(~placeless).join(seen, ["url", "ts"], "left").select(*asked.columns, "base").unionByName(alone)
     by_tag = _tag(F.col("etag")) == _tag(F.col("base.etag"))
     checked = F.coalesce(by_tag, F.col("last_modified") == F.col("base.last_modified"))
     status = F.when(F.col("base.record_id").isNull(), "orphan").when(checked, "resolved").when(~checked, "mismatch").otherwise("unchecked")

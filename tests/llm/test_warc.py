@@ -6,7 +6,8 @@ SCHEMA = "record_id bigint, url string, ts bigint, kind string, etag string, las
 
 
 def canonical(u):
-    return u.lower().split("#")[0].replace("https://", "").replace("http://", "").removeprefix("www.").rstrip("/")
+    path, mark, asked = u.lower().split("#")[0].replace("https://", "").replace("http://", "").removeprefix("www.").partition("?")
+    return path.rstrip("/") + mark + asked
 
 
 def brute(rows):
@@ -34,7 +35,7 @@ def brute(rows):
 
 def captures(seed=0, n=300):
     rng = random.Random(seed)
-    urls = ["http://a.example/x", "https://www.A.example/x/", "http://a.example/x#top", "http://b.example/", "http://c.example/y?q=1", None]
+    urls = ["http://a.example/x", "https://www.A.example/x/", "http://a.example/x#top", "http://b.example/", "http://c.example/y?q=1", "http://c.example/y/?q=1", "http://c.example/y?q=1/", "http://d.example/y\nz?a", None]
     rows = []
     for i in range(n):
         h = rng.choice([None, {}, {"date": str(i), "content-type": "t", "expires": None}, {"etag": "e", "vary": "v"}])
@@ -59,3 +60,15 @@ def test_one_hot_url(spark):
 
 def test_empty(spark):
     assert warc.resolve_revisits(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_canonical_urls(spark):
+    rows = [("HTTP://WWW.A.example:80/X/#t", "a.example/X"), ("https://a.example/?next=/", "a.example?next=/"), ("https://a.example?next=", "a.example?next="), ("a.example//", "a.example"), ("http://b.example:443/p/?", "b.example/p?"), (None, None)]
+    got = spark.createDataFrame(rows, "u string, want string").select(warc.canonical_url(warc.F.col("u")).alias("got"), "want").collect()
+    assert all(r.got == r.want for r in got), got
+
+
+def test_rows_without_a_place_are_not_joined(spark):
+    df = spark.range(20_000).selectExpr("id AS record_id", "CAST(NULL AS STRING) AS url", "id AS ts", "'revisit' AS kind", "'t' AS etag", "CAST(NULL AS STRING) AS last_modified", "CAST(NULL AS MAP<STRING, STRING>) AS headers")
+    got = warc.resolve_revisits(df)
+    assert got.where("status = 'orphan'").count() == 20_000
