@@ -203,9 +203,10 @@ def insertion_needs(spark, sf_dir):
     return lay.insertion_needs(boxes(spark, sf_dir), F.lit(30.0))
 
 
-# Words of the first lines of documents, with boxes and confidence by formula; -1 where a word is a gap.
-_WORDS = """WITH raw AS (SELECT doc_id, string_split(replace(substring(text, 1, 400), chr(10), ' '), ' ') AS ws FROM documents),
-w AS (SELECT doc_id AS image_id, CAST(generate_subscripts(ws, 1) - 1 AS INTEGER) AS k, unnest(ws) AS text FROM raw),
+# Images of 120 words each hold all words of a document, with boxes and confidence by formula; -1 where a word is a gap.
+_WORDS = """WITH raw AS (SELECT doc_id, string_split(replace(text, chr(10), ' '), ' ') AS ws FROM documents),
+wj AS (SELECT doc_id, generate_subscripts(ws, 1) - 1 AS j, unnest(ws) AS text FROM raw),
+w AS (SELECT doc_id * 100000 + j // 120 AS image_id, CAST(j % 120 AS INTEGER) AS k, text FROM wj),
 wd AS (SELECT image_id, 6 AS psm, k // 24 AS block_num, 0 AS par_num, k // 6 % 4 AS line_num, k AS word_no, text, CASE WHEN k % 11 = 5 THEN -1.0 ELSE CAST((k * 37) % 100 AS DOUBLE) END AS conf,
   (k % 6) * 60 + 10 AS "left", (k // 6) * 20 + k % 3 AS top, 8 * length(text) AS width, 14 + k % 4 AS height FROM w)
 """
@@ -217,7 +218,8 @@ ol AS (SELECT image_id, block_num, line_num, "left", top, "right", bottom, mean_
 
 def words(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    w = docs.select(F.col("doc_id").alias("image_id"), F.posexplode(F.split(F.replace(F.substring("text", 1, 400), F.lit("\n"), F.lit(" ")), " ", -1)).alias("k", "text"))
+    w = docs.select("doc_id", F.posexplode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ", -1)).alias("j", "text"))
+    w = w.selectExpr("doc_id * 100000 + j div 120 AS image_id", "j % 120 AS k", "text")
     return w.selectExpr("image_id", "6 AS psm", "CAST(k div 24 AS INT) AS block_num", "0 AS par_num", "CAST(k div 6 % 4 AS INT) AS line_num", "k AS word_no", "text", "CASE WHEN k % 11 = 5 THEN -1.0D ELSE CAST((k * 37) % 100 AS DOUBLE) END AS conf", "(k % 6) * 60 + 10 AS `left`", "CAST((k div 6) * 20 + k % 3 AS INT) AS top", "8 * length(text) AS width", "14 + k % 4 AS height")
 
 

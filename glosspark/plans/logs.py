@@ -3,17 +3,18 @@
 from pyspark.sql import functions as F
 
 from glosspark.operators import history as h
+from glosspark.plans.segments import _LINES, made_lines
 from glosspark.registry import query
 
 #: The stand-in log, as SQL that both engines read alike.
 _FIELDS = {
     "id": "event_id",
     "user_id": "CASE WHEN event_id % 10 = 9 THEN NULL ELSE user_id END",
-    "original_text": "concat(event_type, ' ', props)",
+    "original_text": "CASE WHEN event_id % 17 = 0 THEN '  ' ELSE concat(event_type, ' ', props) END",
     "translated_text": "upper(event_type)",
     "source_lang": "'en'",
     "target_lang": "CASE WHEN event_id % 13 = 0 THEN ' ' ELSE 'vi' END",
-    "file_path": "CASE WHEN event_type = 'purchase' THEN concat('in/File', CAST(event_id AS VARCHAR(20)), CASE event_id % 4 WHEN 0 THEN '.PDF' WHEN 1 THEN '.docx' WHEN 2 THEN '.txt' ELSE '.exe' END) WHEN event_type = 'error' THEN '' END",
+    "file_path": "CASE WHEN event_type = 'purchase' THEN concat('in/File', CAST(event_id AS VARCHAR(20)), CASE event_id % 5 WHEN 0 THEN '.PDF' WHEN 1 THEN '.docx' WHEN 2 THEN '.txt' WHEN 3 THEN '.JPeG' ELSE '.exe' END) WHEN event_type = 'error' THEN '' END",
     "created_at": "ts",
 }
 _LOG = "WITH log AS (SELECT " + ", ".join(f"{v} AS {k}" for k, v in _FIELDS.items()) + " FROM events), usr AS (SELECT c_custkey AS id, c_name AS name, CASE c_custkey % 4 WHEN 0 THEN 'free' WHEN 1 THEN 'Pro' WHEN 2 THEN 'promax' END AS plan FROM customer WHERE c_custkey % 7 <> 3)\n"
@@ -76,9 +77,9 @@ def history_anonymous_left(spark, sf_dir):
     return log(spark, sf_dir).join(users(spark, sf_dir).select(F.col("id").alias("user_id"), "name"), "user_id", "left").select("id", "user_id", "name")
 
 
-@query("owned_row", "P6", _LOG + "SELECT id, user_id FROM log WHERE id % 100 = 8 AND user_id = id % 150")
+@query("owned_row", "P6", _LOG + "SELECT id, user_id FROM log WHERE user_id = id % 150")
 def owned_row(spark, sf_dir):
-    return log(spark, sf_dir).where((F.col("id") % 100 == 8) & (F.col("user_id") == F.col("id") % 150)).select("id", "user_id")
+    return log(spark, sf_dir).where(F.col("user_id") == F.col("id") % 150).select("id", "user_id")
 
 
 @query(
@@ -90,9 +91,13 @@ def recent_duplicate(spark, sf_dir):
     return h.recent_duplicate(log(spark, sf_dir), like, "2024-01-15 00:00:00").select("id", "user_id")
 
 
-@query("quota_by_plan", "A1 P10 P11 J3", _LOG + f"SELECT user_id, CAST(created_at AS DATE) AS day, count(*) AS used, max({_QUOTA}) AS quota, count(*) >= max({_QUOTA}) AS over_quota FROM log LEFT JOIN usr ON usr.id = log.user_id WHERE user_id IS NOT NULL GROUP BY user_id, CAST(created_at AS DATE)")
+#: Half of the users are one, so that days reach a quota.
+_BUSY = "CASE WHEN user_id % 2 = 0 THEN 0 ELSE user_id END"
+
+
+@query("quota_by_plan", "A1 P10 P11 J3", _LOG + f", busy AS (SELECT created_at, {_BUSY} AS user_id FROM log WHERE user_id IS NOT NULL) SELECT user_id, CAST(created_at AS DATE) AS day, count(*) AS used, max({_QUOTA}) AS quota, count(*) >= max({_QUOTA}) AS over_quota FROM busy LEFT JOIN usr ON usr.id = busy.user_id GROUP BY user_id, CAST(created_at AS DATE)")
 def quota_by_plan(spark, sf_dir):
-    return h.quota_decisions(log(spark, sf_dir).where("user_id is not null"), users(spark, sf_dir))
+    return h.quota_decisions(log(spark, sf_dir).where("user_id is not null").withColumn("user_id", F.expr(_BUSY)), users(spark, sf_dir))
 
 
 @query("usage_percent", "P13", _LOG + "SELECT user_id, count(*) AS used, CAST(least(100, floor(count(*) / 90.0 * 100 + 0.5)) AS INTEGER) AS percent FROM log GROUP BY user_id")
@@ -145,11 +150,14 @@ def contact_validation(spark, sf_dir):
     return forms.select("c_custkey", h.contact_error(F.col("who"), F.col("address"), F.col("body")).alias("error"))
 
 
-@query("profile_limits", "P17", "SELECT doc_id, nullif(trim(left(text, n)), '') AS name, length(trim(left(text, n))) <= 255 AS accepted FROM (SELECT doc_id, text, CAST(doc_id % 300 AS INTEGER) AS n FROM documents)")
+_AVATAR = "concat('https://img.example/', line, '?', line)"
+
+
+@query("profile_limits", "P17", _LINES + f"SELECT doc_id, line_no, nullif(trim(line), '') AS name, nullif(trim({_AVATAR}), '') AS avatar, length(trim(line)) <= 255 AND length(trim({_AVATAR})) <= 500 AS accepted FROM ln")
 def profile_limits(spark, sf_dir):
-    few = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.expr("left(text, CAST(doc_id % 300 AS INT))").alias("name"))
-    name, _, accepted = h.profile_update(F.col("name"), F.lit(None).cast("string"))
-    return few.select("doc_id", name.alias("name"), accepted.alias("accepted"))
+    rows = made_lines(spark, sf_dir)
+    name, avatar, accepted = h.profile_update(F.col("line"), F.expr(_AVATAR))
+    return rows.select("doc_id", "line_no", name.alias("name"), avatar.alias("avatar"), accepted.alias("accepted"))
 
 
 @query("dashboard_stats", "A16 O9", _LOG + "SELECT count(*) AS shown, count(*) FILTER (CAST(created_at AS DATE) = DATE '2024-01-30') AS today, count(*) FILTER (coalesce(file_path, '') <> '') AS with_file FROM (SELECT * FROM log ORDER BY created_at DESC, id DESC LIMIT 100)")

@@ -1,7 +1,7 @@
 """Segments and text rules over documents' lines.
 
-The corpus has no forms, lists or code, so every twelfth kind of line is made from it by one
-expression that both engines read alike.
+The corpus has no forms, lists or code. Behind its own lines, all of them as they are, each document
+gets as many made from them by one expression that both engines read alike.
 """
 
 from pyspark.sql import functions as F
@@ -11,7 +11,7 @@ from glosspark.functions import text as t
 from glosspark.operators import segments as s
 from glosspark.registry import query
 
-_MADE = """CASE k % 20
+_MADE = """CASE CASE WHEN k < n THEN 0 ELSE (k - n) % 20 END
  WHEN 1 THEN concat('Name: ', substring(line, 1, 20), ' ......... Class: ____')
  WHEN 2 THEN concat('1. ', line)
  WHEN 3 THEN '........................'
@@ -25,14 +25,14 @@ _MADE = """CASE k % 20
  WHEN 11 THEN concat('Họ tên: ', substring(line, 1, 12), ' MSSV: 222683 a.b@mail.example')
  WHEN 12 THEN '____ - = ;'
  WHEN 13 THEN concat('+ DocGia')
- WHEN 14 THEN concat('maSach (PK, string), tenSach (string): ', substring(line, 1, 9))
+ WHEN 14 THEN concat('orderCode (PK, integer), unitPrice (float): ', substring(line, 1, 9))
  WHEN 15 THEN 'Primary   Key'
  WHEN 16 THEN concat('Email: ', substring(line, 1, 8))
  WHEN 17 THEN 'no  null'
  WHEN 18 THEN concat('• ', substring(line, 1, 40), ' --- ', substring(line, 41, 20))
  WHEN 19 THEN concat('  STUDENT ID is ', substring(line, 1, 5), ' Data  types ')
  ELSE line END"""
-_LINES = f"""WITH raw AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS k FROM documents),
+_LINES = f"""WITH raw AS (SELECT doc_id, len(ls) AS n, unnest(list_concat(ls, ls)) AS line, generate_subscripts(list_concat(ls, ls), 1) - 1 AS k FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)),
 ln AS (SELECT doc_id, CAST(k AS INTEGER) AS line_no, {_MADE} AS line FROM raw)
 """
 #: RE2 has no named white space beyond ASCII; the corpus has none either.
@@ -48,8 +48,9 @@ def documents(spark, sf_dir):
 
 
 def made_lines(spark, sf_dir):
-    made = F.expr(f"transform(split(text, '\\n', -1), (line, k) -> {_MADE})")  # before the explode, so no later filter repeats it
-    return documents(spark, sf_dir).select("doc_id", F.posexplode(made).alias("line_no", "line"))
+    rows = documents(spark, sf_dir).select("doc_id", F.split("text", "\n", -1).alias("ls"), F.size(F.split("text", "\n", -1)).alias("n"))
+    made = F.expr(f"transform(concat(ls, ls), (line, k) -> {_MADE})")  # before the explode, so no later filter repeats it
+    return rows.select("doc_id", F.posexplode(made).alias("line_no", "line"))
 
 
 def _q(pattern):
@@ -162,10 +163,10 @@ _TOKEN = " OR ".join(f"regexp_matches({_CORE}, {_q(k)})" for k in (p.FUNC_CALL_T
 _BARE = strip_sql(f"regexp_replace({_CORE}, {_q(p.BULLET_PREFIX)}, '')")
 _NONSEM = f"({_CORE} = '' OR lower({_CORE}) IN {p.NONTRANSLATABLE} OR {_TOKEN} OR ({_BARE} <> '' AND {_BARE} <> {_CORE} AND regexp_matches({_BARE}, {_q(p.PASCAL_IDENT)})))"
 _flag("code_token", "F21", t.nonsemantic, _NONSEM)
-_flag(
-    "code_cell", "F21", lambda c: t.nonsemantic(c, True),
-    f"({_NONSEM} OR (regexp_matches({_CORE}, '^[A-Za-z0-9_]{{2,24}}$') AND (regexp_matches({_CORE}, '[0-9]') OR (regexp_matches({_CORE}, '[A-Z]') AND regexp_matches({_CORE}, '[a-z]') AND NOT regexp_matches({_CORE}, '^[A-Z][^A-Z]*[a-z][^A-Z]*$')))))",
-)
+_CELL = (
+    f"({_NONSEM} OR (regexp_matches({_CORE}, '^[A-Za-z0-9_]{{2,24}}$') AND (regexp_matches({_CORE}, '[0-9]') OR (regexp_matches({_CORE}, '[A-Z]') AND regexp_matches({_CORE}, '[a-z]') AND NOT regexp_matches({_CORE}, '^[A-Z][^A-Z]*[a-z][^A-Z]*$')))))"
+)
+_flag("code_cell", "F21", lambda c: t.nonsemantic(c, True), _CELL)
 _KEY = f"lower(regexp_replace({_CORE}, '\\s+', ' ', 'g'))"
 
 
@@ -206,25 +207,28 @@ def form_score(spark, sf_dir):
 
 @query(
     "image_mode", "F39",
-    rf"""WITH m AS (SELECT doc_id, substring(text, 1, CAST(doc_id % 160 AS INTEGER)) AS x FROM documents),
-c AS (SELECT doc_id, {strip_sql('x')} AS raw FROM m),
-l AS (SELECT doc_id, raw, list_filter(list_transform(string_split(raw, chr(10)), lambda y: {strip_sql('y')}), lambda y: y <> '') AS ls FROM c),
-w AS (SELECT doc_id, raw, list_transform(ls, lambda y: len(regexp_extract_all(y, '[\pL\pN_]+'))) AS ns, len(regexp_extract_all(raw, '\pL')) AS al, len(regexp_extract_all(raw, '[\p{{Lu}}\p{{Lo}}\p{{Lm}}]')) AS up FROM l)
-SELECT doc_id, CASE WHEN raw = '' OR length(raw) >= 120 OR len(regexp_extract_all(raw, '[\pL\pN_]+')) >= 25 THEN 'text'
+    _LINES + rf""", c AS (SELECT doc_id, line_no, {strip_sql('line')} AS raw FROM ln UNION ALL SELECT doc_id, -1, {strip_sql('text')} FROM documents WHERE text IS NOT NULL),
+l AS (SELECT doc_id, line_no, raw, list_filter(list_transform(string_split(raw, chr(10)), lambda y: {strip_sql('y')}), lambda y: y <> '') AS ls FROM c),
+w AS (SELECT doc_id, line_no, raw, list_transform(ls, lambda y: len(regexp_extract_all(y, '[\pL\pN_]+'))) AS ns, len(regexp_extract_all(raw, '\pL')) AS al, len(regexp_extract_all(raw, '[\p{{Lu}}\p{{Lo}}\p{{Lm}}]')) AS up FROM l)
+SELECT doc_id, line_no, CASE WHEN raw = '' OR length(raw) >= 120 OR len(regexp_extract_all(raw, '[\pL\pN_]+')) >= 25 THEN 'text'
  WHEN {' OR '.join(f"contains(lower(raw), '{x}')" for x in p.PROMO_WORDS)} OR (al > 0 AND up * 1.0 / al >= 0.5 AND list_avg(ns) <= 4) OR (len(list_filter(ns, lambda n: n <= 3)) >= 3 AND list_avg(ns) <= 3) OR doc_id % 11 = 0 THEN 'image' ELSE 'text' END AS mode FROM w""",
 )
 def image_mode(spark, sf_dir):
-    few = documents(spark, sf_dir).select("doc_id", F.expr("substring(text, 1, CAST(doc_id % 160 AS INT))").alias("x"))
-    return few.select("doc_id", t.image_mode(F.col("x"), F.lit(""), F.when(F.col("doc_id") % 11 == 0, "Image")).alias("mode"))
+    own = made_lines(spark, sf_dir).unionByName(documents(spark, sf_dir).where("text is not null").select("doc_id", F.lit(-1).alias("line_no"), F.col("text").alias("line")))
+    return own.select("doc_id", "line_no", t.image_mode(F.col("line"), F.lit(""), F.when(F.col("doc_id") % 11 == 0, "Image")).alias("mode"))
+
+
+_LONG = r"regexp_matches(core, '(^|[^\pL\pN_])\d{{{},}}($|[^\pL\pN_])')"
 
 
 @query(
     "incomplete_translation", "F33 F34",
-    _LINES + r"""SELECT doc_id, line_no, regexp_matches(line, 'MSSV') AND line_no % 3 <> 0 AS incomplete, line_no % 5 = 0 AND regexp_replace(line, '^\s+|\s+$', '', 'g') <> '' AND regexp_matches(line, '[A-Za-z]') AND NOT regexp_matches(lower(line), '"""
-    + p.VIETNAMESE + "') AS unchanged FROM ln WHERE line_no % 20 IN (0, 11)",
+    _LINES + rf""", c AS (SELECT *, {_CORE} AS core FROM ln)
+SELECT doc_id, line_no, line_no % 5 <> 0 AND line_no % 3 <> 0 AND core <> '' AND (regexp_matches(core, '{p.EMAIL}') OR {_LONG.format(6)} OR (regexp_matches(core, '(?i)mssv') AND {_LONG.format(5)}) OR regexp_matches(core, '(?i)lớp\s*:') OR regexp_matches(core, '(?i)họ\s*&?\s*tên') AND regexp_matches(core, '(?i)mssv')) AS incomplete,
+ line_no % 5 = 0 AND core <> '' AND regexp_matches(line, '[A-Za-z]') AND NOT regexp_matches(lower(line), '{p.VIETNAMESE}') AS unchanged FROM c""",
 )
 def incomplete_translation(spark, sf_dir):
-    rows = made_lines(spark, sf_dir).where("line_no % 20 in (0, 11)")
+    rows = made_lines(spark, sf_dir)
     out = F.when(F.col("line_no") % 5 == 0, F.col("line")).when(F.col("line_no") % 3 == 0, F.concat(F.lit("Student ID 222683 a.b@mail.example "), F.col("line"))).otherwise(F.lit("Student name"))
     return rows.select("doc_id", "line_no", t.incomplete(F.col("line"), out).alias("incomplete"), t.unchanged_english(F.col("line"), out).alias("unchanged"))
 

@@ -7,7 +7,7 @@ from glosspark.functions import text as t
 from glosspark.operators import layout as lay
 from glosspark.operators import masking, ocr, segments, sequential as seq, translate as tr
 from glosspark.plans.layout import _OCR_LINES, _PAGES, boxes, words
-from glosspark.plans.segments import _CORE, _LINES, _NONSEM, _case, _q, made_lines, strip_sql
+from glosspark.plans.segments import _CELL, _CORE, _LINES, _NONSEM, _case, _q, made_lines, strip_sql
 from glosspark.registry import query
 from glosspark.sources import files, html, office
 
@@ -27,10 +27,9 @@ def translated_segments(spark, sf_dir):
     return tr.translated(made_lines(spark, sf_dir), "line", "vi").select("doc_id", "line_no", "translated")
 
 
-@query("translated_cells", "F22 D7 J3", _LINES + f"SELECT doc_id, line_no, CASE WHEN regexp_matches(lower({_CORE}), '^(not|no)\\s*null$') THEN 'Not NULL' WHEN {_case(p.CONSTRAINT_TEXT)} IS NOT NULL THEN {_case(p.CONSTRAINT_TEXT)} ELSE line END AS translated FROM ln WHERE line_no % 20 IN (7, 8, 9, 15, 17)")
+@query("translated_cells", "F22 D7 J3", _LINES + f"SELECT doc_id, line_no, CASE WHEN regexp_matches(lower({_CORE}), '^(not|no)\\s*null$') THEN 'Not NULL' WHEN {_case(p.CONSTRAINT_TEXT)} IS NOT NULL THEN {_case(p.CONSTRAINT_TEXT)} ELSE {_SAID.replace(_NONSEM, _CELL)} END AS translated FROM ln")
 def translated_cells(spark, sf_dir):
-    rows = made_lines(spark, sf_dir).where("line_no % 20 in (7, 8, 9, 15, 17)")
-    return tr.translated(rows, "line", "vi", in_table=True).select("doc_id", "line_no", "translated")
+    return tr.translated(made_lines(spark, sf_dir), "line", "vi", in_table=True).select("doc_id", "line_no", "translated")
 
 
 @query("bilingual_newline", "D6 X6 F26", _LINES + f"SELECT doc_id, line_no, CASE WHEN {_CORE} = {strip_sql(_SAID)} THEN line ELSE line || chr(10) || {_SAID} END AS output FROM ln")
@@ -49,9 +48,9 @@ def translated_documents(spark, sf_dir):
     return segments.rejoined(done.select("doc_id", "line_no", F.col("translated").alias("text")), "doc_id", "line_no", "text", "\n")
 
 
-@query("provider_cascade", "X3 X8", _LINES + f"SELECT core AS text, coalesce({_case(p.GLOSSARY).replace(_CORE, 'core')}, '[VI] ' || core) AS answer FROM (SELECT DISTINCT {_CORE} AS core FROM ln WHERE line_no % 20 IN (0, 15)) WHERE core <> ''")
+@query("provider_cascade", "X3 X8", _LINES + f"SELECT core AS text, coalesce({_case(p.GLOSSARY).replace(_CORE, 'core')}, '[VI] ' || core) AS answer FROM (SELECT DISTINCT {_CORE} AS core FROM ln) WHERE core <> ''")
 def provider_cascade(spark, sf_dir):
-    cores = made_lines(spark, sf_dir).where("line_no % 20 in (0, 15)").select(t.strip(F.col("line")).alias("text")).where("text <> ''")
+    cores = made_lines(spark, sf_dir).select(t.strip(F.col("line")).alias("text")).where("text <> ''")
     return tr.answers(cores, "vi", ask=tr.cascade("glossary", "stub"))
 
 
