@@ -1,5 +1,5 @@
 """Page layout and recognised text. Boxes are made from line numbers and lengths by formulas that
-both engines read alike: three columns on every third page, else one."""
+both engines read alike: on every third page three columns with a break between two tables, else one."""
 
 from pyspark.sql import functions as F
 
@@ -11,6 +11,7 @@ from glosspark.operators import ocr
 from glosspark.plans.segments import _LINES, _q, made_lines, strip_sql
 from glosspark.registry import query
 
+_COLUMNS, _BREAK = "(doc_id + CAST(floor(line_no / 30) AS INT)) % 3 = 1", "line_no % 30 BETWEEN 12 AND 17"
 _GEOMETRY = {
     "doc_id": "doc_id",
     "page_no": "CAST(floor(line_no / 30) AS INT)",
@@ -20,8 +21,8 @@ _GEOMETRY = {
     "is_bold": "line_no % 4 = 0",
     "is_italic": "line_no % 5 = 0",
     "is_table_cell": "line_no % 8 IN (2, 3, 4)",
-    "x0": "CAST(72 + CASE WHEN CAST(floor(line_no / 30) AS INT) % 3 = 1 THEN 160 * (line_no % 3) ELSE (line_no * 37) % 6 * 22 END AS DOUBLE)",
-    "y0": "CAST(20 + CASE WHEN CAST(floor(line_no / 30) AS INT) % 3 = 1 THEN 27 * floor((line_no % 30) / 3) + line_no % 3 ELSE 27 * (line_no % 30) END AS DOUBLE)",
+    "x0": f"CAST(72 + CASE WHEN {_COLUMNS} AND NOT {_BREAK} THEN 160 * (line_no % 3) ELSE (line_no * 37) % 6 * 22 END AS DOUBLE)",
+    "y0": f"CAST(20 + CASE WHEN {_COLUMNS} THEN 27 * floor((line_no % 30) / 3) + line_no % 3 * CASE WHEN {_BREAK} THEN 9 ELSE 1 END ELSE 27 * (line_no % 30) END AS DOUBLE)",
 }
 _EDGES = {"x1": "x0 + 5.5 * least(length(line), 24 + line_no % 40)", "y1": "y0 + font_size * 1.2"}
 
@@ -192,9 +193,9 @@ def page_shift(spark, sf_dir):
     return lay.shift_at(ins, rows.select(*KEY, F.col("y0").alias("y"))).select(*KEY, "y", "shift")
 
 
-@query("page_strips", "W18", _PAGES + ", ins AS (SELECT doc_id, page_no, y0 AS y, font_size AS extra FROM bx WHERE seq % 7 = 0 AND page_no % 3 <> 1) SELECT doc_id, page_no, coalesce(lag(y) OVER w, 0.0) AS top, y AS bottom, coalesce(sum(extra) OVER (PARTITION BY doc_id, page_no ORDER BY y ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS shift FROM ins WINDOW w AS (PARTITION BY doc_id, page_no ORDER BY y) UNION ALL SELECT doc_id, page_no, max(y), 842.0, sum(extra) FROM ins GROUP BY doc_id, page_no")
+@query("page_strips", "W18", _PAGES + ", ins AS (SELECT doc_id, page_no, y0 AS y, font_size AS extra FROM bx WHERE seq % 7 = 0) SELECT doc_id, page_no, coalesce(lag(y) OVER w, 0.0) AS top, y AS bottom, coalesce(sum(extra) OVER (PARTITION BY doc_id, page_no ORDER BY y ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS shift FROM ins WINDOW w AS (PARTITION BY doc_id, page_no ORDER BY y) UNION ALL SELECT doc_id, page_no, max(y), 842.0, sum(extra) FROM ins GROUP BY doc_id, page_no")
 def page_strips(spark, sf_dir):
-    ins = boxes(spark, sf_dir).where("seq % 7 = 0 and page_no % 3 <> 1").select("doc_id", "page_no", F.col("y0").alias("y"), F.col("font_size").alias("extra"))
+    ins = boxes(spark, sf_dir).where("seq % 7 = 0").select("doc_id", "page_no", F.col("y0").alias("y"), F.col("font_size").alias("extra"))
     return lay.strips(ins)
 
 

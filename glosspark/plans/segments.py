@@ -11,7 +11,7 @@ from glosspark.functions import text as t
 from glosspark.operators import segments as s
 from glosspark.registry import query
 
-_MADE = """CASE CASE WHEN k < n THEN 0 ELSE (k - n) % 20 END
+_MADE = """CASE CASE WHEN k < n THEN 0 ELSE (k - n) % 22 END
  WHEN 1 THEN concat('Name: ', substring(line, 1, 20), ' ......... Class: ____')
  WHEN 2 THEN concat('1. ', line)
  WHEN 3 THEN '........................'
@@ -21,7 +21,7 @@ _MADE = """CASE CASE WHEN k < n THEN 0 ELSE (k - n) % 20 END
  WHEN 7 THEN 'getUserName()'
  WHEN 8 THEN 'VARCHAR(255)'
  WHEN 9 THEN 'ma_khach_hang'
- WHEN 10 THEN 'DOB'
+ WHEN 10 THEN CASE k % 3 WHEN 0 THEN 'DOB' WHEN 1 THEN 'User   ID' ELSE 'Data types' END
  WHEN 11 THEN concat('Họ tên: ', substring(line, 1, 12), ' MSSV: 222683 a.b@mail.example')
  WHEN 12 THEN '____ - = ;'
  WHEN 13 THEN concat('+ DocGia')
@@ -30,7 +30,9 @@ _MADE = """CASE CASE WHEN k < n THEN 0 ELSE (k - n) % 20 END
  WHEN 16 THEN concat('Email: ', substring(line, 1, 8))
  WHEN 17 THEN 'no  null'
  WHEN 18 THEN concat('• ', substring(line, 1, 40), ' --- ', substring(line, 41, 20))
- WHEN 19 THEN concat('  STUDENT ID is ', substring(line, 1, 5), ' Data  types ')
+ WHEN 19 THEN concat('  STUDENT ID is ', substring(line, 1, 5), chr(9), ' Data  types ')
+ WHEN 20 THEN concat('Summary [see: ', substring(line, 1, 9), '] of ', substring(line, 10, 30))
+ WHEN 21 THEN concat('TV1: (', substring(line, 1, 12), ') title: ', line)
  ELSE line END"""
 _LINES = f"""WITH raw AS (SELECT doc_id, len(ls) AS n, unnest(list_concat(ls, ls)) AS line, generate_subscripts(list_concat(ls, ls), 1) - 1 AS k FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)),
 ln AS (SELECT doc_id, CAST(k AS INTEGER) AS line_no, {_MADE} AS line FROM raw)
@@ -184,7 +186,7 @@ _flag("cleaned_line", "F24", t.cleaned, _CLEAN)
 _flag("code_dominated_calls", "F23", lambda c: F.regexp_count(c, F.lit(p.CODE_CALL)) + F.regexp_count(c, F.lit(p.TYPED_IDENT)), f"CAST({_COUNT.format('line', p.CODE_CALL)} + {_COUNT.format('line', p.TYPED_IDENT)} AS INTEGER)")
 _flag("code_dominated", "F23", t.code_dominated, f"{_COUNT.format('line', p.CODE_CALL)} >= 2 OR {_COUNT.format('line', p.TYPED_IDENT)} >= 2 OR {_COUNT.format('line', p.CLASS_LISTING)} >= 2 OR len(list_filter(regexp_extract_all(line, '[A-Za-zÀ-ỹ0-9]+'), lambda w: regexp_matches(w, '^([A-Z][a-z]+([A-Z][a-zA-Z0-9]*)+|[a-z]+[A-Z][a-zA-Z0-9]*)$'))) >= 2")
 _flag("single_line", "F58", t.single_line, rf"{strip_sql(r'''regexp_replace(line, '\s{2,}', ' ', 'g')''')}")
-_flag("profile_leader", "F25", t.profile_leader, rf"CASE WHEN {_CORE} = '' OR (lower(line) LIKE '%email%' AND lower(line) LIKE '%class%') OR NOT regexp_matches({_CORE}, '(?i)^(\s*)(student\s*id|email|class)\s*[:\-]?\s*(.*)$') OR {strip_sql(rf'''regexp_replace(regexp_extract({_CORE}, '(?i)^(\s*)(student\s*id|email|class)\s*[:\-]?\s*(.*)$', 3), '^[.\-_:\s]+', '')''')} = '' THEN line ELSE CASE WHEN regexp_matches({_CORE}, '(?i)^student') THEN 'Student Id:' WHEN regexp_matches({_CORE}, '(?i)^class') THEN 'Class:' ELSE 'Email:' END || chr(9) || {strip_sql(rf'''regexp_replace(regexp_extract({_CORE}, '(?i)^(\s*)(student\s*id|email|class)\s*[:\-]?\s*(.*)$', 3), '^[.\-_:\s]+', '')''')} END")
+_flag("profile_leader", "F25", t.profile_leader, rf"CASE WHEN {_CORE} = '' OR (lower(line) LIKE '%email%' AND lower(line) LIKE '%class%') OR (contains(line, chr(9)) AND NOT regexp_matches(line, '\.{{3,}}')) OR NOT regexp_matches({_CORE}, '(?i)^(\s*)(student\s*id|email|class)\s*[:\-]?\s*(.*)$') OR {strip_sql(rf'''regexp_replace(regexp_extract({_CORE}, '(?i)^(\s*)(student\s*id|email|class)\s*[:\-]?\s*(.*)$', 3), '^[.\-_:\s]+', '')''')} = '' THEN line ELSE CASE WHEN regexp_matches({_CORE}, '(?i)^student') THEN 'Student Id:' WHEN regexp_matches({_CORE}, '(?i)^class') THEN 'Class:' ELSE 'Email:' END || chr(9) || {strip_sql(rf'''regexp_replace(regexp_extract({_CORE}, '(?i)^(\s*)(student\s*id|email|class)\s*[:\-]?\s*(.*)$', 3), '^[.\-_:\s]+', '')''')} END")
 _flag("non_text_line", "F41", t.non_text, rf"{_CORE} = '' OR (len(regexp_extract_all({_CORE}, '[\pL\pN_]+')) <= 2 AND length({_CORE}) < 24)")
 _flag("error_kind", "F56 ST5", lambda c: t.error_kind(c), f"CASE WHEN regexp_matches(line, '{p.FAIL_FAST_WORDS}') THEN 'stop' WHEN regexp_matches(line, '{p.RETRY_WORDS}') THEN 'retry' ELSE 'fail' END")
 _flag("inline_symbols", "F35 F54", t.inline_symbols, r"regexp_replace(line, '^(\s*[•+\-*◦o])(\S)', '\1 \2')")

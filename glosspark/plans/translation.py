@@ -162,10 +162,7 @@ f AS (SELECT doc_id, page_no, k, mid AS base, 1 AS run FROM b WHERE k = 1
   FROM f JOIN b ON b.doc_id = f.doc_id AND b.page_no = f.page_no AND b.k = f.k + 1)
 SELECT doc_id, page_no, CAST(row_number() OVER (PARTITION BY doc_id, page_no ORDER BY run, x0, y0, seq) - 1 AS INTEGER) AS seq, line AS text, x0, y0, x1, y1, [CAST(seq AS INTEGER)] AS members FROM b JOIN f USING (doc_id, page_no, k)"""
 _pages("rows_reordered", "W5", seq.reordered, _ROWS)
-_pages("prefixes_merged", "W6", seq.prefixes_merged)
-_pages("paragraphs_merged", "W7 A6", seq.paragraphs_merged)
-_pages("typed_paragraphs", "W8", seq.typed_paragraphs)
-_pages("form_rows_merged", "W9", seq.form_rows)
+
 
 _FLOW = """WITH RECURSIVE b AS (SELECT doc_id, page_no, seq, y0, y1, CASE WHEN seq % 4 = 0 THEN 18.0 ELSE 0.0 END AS extra, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY seq) AS k FROM bx),
 f AS (SELECT doc_id, page_no, k, seq, CAST(0 AS DOUBLE) AS shift, extra, y1 FROM b WHERE k = 1
