@@ -6,7 +6,7 @@ from glosspark.functions import patterns as p
 from glosspark.functions import text as t
 from glosspark.operators import layout as lay
 from glosspark.operators import masking, ocr, segments, sequential as seq, translate as tr
-from glosspark.plans.layout import _OCR_LINES, _PAGES, boxes, words
+from glosspark.plans.layout import _CLASS, _OCR_LINES, _PAGES, boxes, words
 from glosspark.plans.segments import _CELL, _CORE, _LINES, _NONSEM, _case, _q, made_lines, strip_sql
 from glosspark.registry import query
 from glosspark.sources import files, html, office
@@ -54,14 +54,30 @@ def provider_cascade(spark, sf_dir):
     return tr.answers(cores, "vi", ask=tr.cascade("glossary", "stub"))
 
 
-@query("mask_roundtrip", "F10 F11 F12", _LINES + "SELECT doc_id, line_no, line AS restored, false AS lost, false AS leaked FROM ln")
+# Each pass numbers its matches in what the one before left, so each is one more subquery.
+_MASKED = _LINES + ", m0 AS (SELECT doc_id, line_no, line, line AS text, 0 AS n, CAST(NULL AS VARCHAR) AS without FROM ln)"
+for _k, (_kind, _pattern, _fold) in enumerate(p.MASK_STEPS):
+    _x = _q(("(?i)" if _fold else "") + _pattern.replace("-", r"\x{E000}-\x{F8FF}"))
+    _MASKED += f""",
+m{_k + 1} AS (SELECT doc_id, line_no, line, array_to_string(list_transform(range(1, len(parts) + 1), lambda i: parts[i] || CASE WHEN i < len(parts) THEN '[[{_kind}' || printf('%03d', n + i) || ']]' ELSE '' END), '') AS text, n + len(parts) - 1 AS n,
+  CASE WHEN n = 0 AND len(parts) > 1 THEN regexp_replace(line, {_x}, '') ELSE without END AS without FROM (SELECT *, regexp_split_to_array(text, {_x}) AS parts FROM m{_k}))"""
+_LAST = f"m{len(p.MASK_STEPS)}"
+
+
+@query(
+    "mask_roundtrip", "F10 F11 F12",
+    _MASKED + f" SELECT doc_id, line_no, CASE line_no % 3 WHEN 0 THEN line WHEN 1 THEN coalesce(without, line) ELSE line || ' [[ID999]]' END AS restored, line_no % 3 = 1 AND n > 0 AS lost, line_no % 3 = 2 AS leaked FROM {_LAST}",
+)
 def mask_roundtrip(spark, sf_dir):
+    """Answers as they should be, without their first token, and with a token that was never sent."""
     rows = made_lines(spark, sf_dir).withColumn("m", masking.mask(F.col("line")))
-    back = rows.withColumn("restored", masking.unmask(F.col("m.masked"), F.col("m.tokens")))
-    return back.select("doc_id", "line_no", "restored", masking.lost(F.col("m.masked"), F.col("m.tokens")).alias("lost"), masking.leaked(F.col("restored")).alias("leaked"))
+    short = F.regexp_replace("m.masked", r"\[\[(CODE|ID|SYM|GLY)001\]\]", "")
+    said = F.when(F.col("line_no") % 3 == 0, F.col("m.masked")).when(F.col("line_no") % 3 == 1, short).otherwise(F.concat("m.masked", F.lit(" [[ID999]]")))
+    back = rows.withColumn("said", said).withColumn("restored", masking.unmask(F.col("said"), F.col("m.tokens")))
+    return back.select("doc_id", "line_no", "restored", masking.lost(F.col("said"), F.col("m.tokens")).alias("lost"), masking.leaked(F.col("restored")).alias("leaked"))
 
 
-@query("masked_lines", "F10")
+@query("masked_lines", "F10", _MASKED + f" SELECT doc_id, line_no, text AS masked, CAST(n AS INTEGER) AS n_tokens FROM {_LAST}")
 def masked_lines(spark, sf_dir):
     rows = made_lines(spark, sf_dir).withColumn("m", masking.mask(F.col("line")))
     return rows.select("doc_id", "line_no", "m.masked", F.size("m.tokens").alias("n_tokens"))
@@ -78,15 +94,36 @@ def echo_free(spark, sf_dir):
     return rows.select("doc_id", "line_no", tr.echo_free(F.col("line"), F.concat(t.strip(F.col("line")), F.lit(" | done"))).alias("answer"))
 
 
-@query("dispatched_parts", "D4")
+def _cut(kind, pattern):
+    body, marks = f"regexp_split_to_array(line, '{pattern}')", f"regexp_extract_all(line, '{pattern}')"
+    return f"""SELECT doc_id, page_no, seq, layout_type, generate_subscripts({body}, 1) * 2 - 2 AS n, unnest({body}) AS text, false AS kept FROM r WHERE layout_type = '{kind}'
+  UNION ALL SELECT doc_id, page_no, seq, layout_type, generate_subscripts({marks}, 1) * 2 - 1, unnest({marks}), true FROM r WHERE layout_type = '{kind}'"""
+
+
+_ITEM = f"regexp_extract(line, {_q(p.LIST_PREFIX_PDF)}, 1)"
+
+
+@query(
+    "dispatched_parts", "D4",
+    _CLASS + f""", pt AS ({_cut('dotted_placeholder', p.LEADER_PDF)}
+  UNION ALL {_cut('form_field', p.FORM_SPLIT)}
+  UNION ALL SELECT doc_id, page_no, seq, layout_type, 0, {_ITEM}, true FROM r WHERE layout_type = 'list_item'
+  UNION ALL SELECT doc_id, page_no, seq, layout_type, 1, substring(line, length({_ITEM}) + 1), false FROM r WHERE layout_type = 'list_item'
+  UNION ALL SELECT doc_id, page_no, seq, layout_type, 0, line, layout_type IN ('page_number', 'whitespace') FROM r WHERE layout_type NOT IN ('dotted_placeholder', 'form_field', 'list_item'))
+SELECT doc_id, page_no, seq, layout_type, CAST(n AS INTEGER) AS part_no, text, NOT kept AND {_WANTED.replace('line', 'text')} AS ask FROM pt""",
+)
 def dispatched_parts(spark, sf_dir):
     return tr.by_type(lay.classified(boxes(spark, sf_dir))).select("doc_id", "page_no", "seq", "layout_type", "part_no", "text", "ask")
 
 
-@query("signed_rows", "F50")
+_SECRET = "a secret of some length"
+_INNER, _OUTER = ("".join(f"\\x{b ^ pad:02X}" for b in _SECRET.encode().ljust(64, b"\0")) for pad in (0x36, 0x5C))
+
+
+@query("signed_rows", "F50", f"SELECT event_id, sha256('{_OUTER}'::BLOB || unhex(sha256('{_INNER}'::BLOB || encode('amount=' || event_id || '&user=' || coalesce(CAST(user_id AS VARCHAR), 'None'))))) AS signature FROM events")
 def signed_rows(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return rows.select("event_id", tr.signed({"user": F.col("user_id"), "amount": F.col("event_id")}, "secret").alias("signature"))
+    return rows.select("event_id", tr.signed({"user": F.col("user_id"), "amount": F.col("event_id")}, _SECRET).alias("signature"))
 
 
 @query("html_text_nodes", "S7 D9")
@@ -94,11 +131,22 @@ def html_text_nodes(spark, sf_dir):
     return html.html_nodes(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
-@query("html_roundtrip", "S7 D9", "SELECT page_id, true AS same FROM pages")
+_NODE = r"regexp_extract_all(regexp_replace(html, '(?is)<!--.*?-->|<(script|style|code|pre|noscript)\b.*?</(script|style|code|pre|noscript)>', '<x>', 'g'), '>([^<]+)', 1)"
+for _name, _char in (("&copy;", "©"), ("&middot;", "·"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
+    _NODE = f"list_transform({_NODE}, lambda x: replace(x, '{_name}', '{_char}'))"
+
+
+@query(
+    "html_roundtrip", "S7 D9",
+    rf"""WITH n AS (SELECT page_id, list_filter({_NODE}, lambda x: regexp_matches(x, '[^\s\x{{A0}}]')) AS ts FROM pages)
+SELECT page_id, CAST(generate_subscripts(ts, 1) - 1 AS INTEGER) AS seq, regexp_replace(unnest(ts), '(?s)^([\s\x{{A0}}]*)(.*?)([\s\x{{A0}}]*)$', '\1[\2]\3') AS text FROM n""",
+)
 def html_roundtrip(spark, sf_dir):
+    """Text nodes of pages whose text nodes were put in brackets."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").withColumn("nodes", html.nodes("html"))
-    back = pages.withColumn("again", html.rebuilt("html", F.transform("nodes", lambda n: F.btrim(n.text, F.lit(" \n\t\r")))))
-    return back.select("page_id", (html.nodes("again") == F.col("nodes")).alias("same"))
+    said = F.transform("nodes", lambda n: F.concat(F.lit("["), t.strip(n.text), F.lit("]")))
+    again = pages.select("page_id", html.nodes(html.rebuilt("html", said)).alias("again"))
+    return again.select("page_id", F.explode("again").alias("n")).select("page_id", "n.seq", "n.text")
 
 
 @query("html_plain", "F51", r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '<br\s*/?>|</(p|div|li|h[1-6]|tr)>', chr(10), 'gi'), '(?s)<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10) || chr(9)) AS text FROM pages""")
