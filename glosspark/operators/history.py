@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -134,27 +135,57 @@ def dashboard(log: DataFrame, day: str, rows: int = DASHBOARD_ROWS) -> DataFrame
     return few.agg(F.count("*").alias("shown"), F.count_if(F.to_date("created_at") == F.lit(day).cast("date")).alias("today"), F.count_if(F.coalesce("file_path", F.lit("")) != "").alias("with_file"))
 
 
+def _runs(times: DataFrame, span: int) -> DataFrame:
+    """``times`` (k, t, ...) with ``run``: times of a key whose steps are ``span`` at most share one, later runs never depend on it.
+
+    Steps are taken within an hour of a key first and hours are then linked by their first and last
+    times, so no window runs over all rows of a key.
+    """
+    hour = max(3_600_000_000, span)
+    cut = times.withColumn("b", F.floor(F.col("t") / hour))
+    within = Window.partitionBy("k", "b").orderBy("t")
+    step = F.col("t") - F.lag("t").over(within)
+    cut = cut.withColumn("new", F.coalesce((step > span).cast("int"), F.lit(1))).withColumn("n", F.sum("new").over(within)).drop("new")
+    hours = cut.groupBy("k", "b").agg(F.min("t").alias("first"), F.max("t").alias("last"), F.max("n").alias("runs"))
+    along = Window.partitionBy("k").orderBy("b")
+    linked = F.coalesce(F.col("first") - F.lag("last").over(along) <= span, F.lit(False))
+    name = lambda n: F.struct(F.col("b"), n.cast("long").alias("n"))
+    hours = hours.withColumn("linked", linked).withColumn("end", F.last(F.when(F.col("runs") > 1, name(F.col("runs"))).when(~F.col("linked"), name(F.lit(1))), ignorenulls=True).over(along))
+    hours = hours.select("k", "b", F.when(F.col("linked"), F.lag("end").over(along)).otherwise(name(F.lit(1))).alias("start"))
+    return cut.join(hours, ["k", "b"]).withColumn("run", F.when(F.col("n") == 1, F.col("start")).otherwise(name(F.col("n")))).drop("b", "n", "start")
+
+
 def accepted_saves(log: DataFrame, key: tuple[str, ...] = SAVE_KEY, minutes: int = DUPLICATE_MINUTES) -> DataFrame:
     """Saves that are stored: a row is dropped when an identical stored row is at most ``minutes`` old.
 
     Dropped rows are not stored, so they never extend the window; a chain of duplicates is a
     fold and not a comparison with the row before. Texts over the stored length never match
-    what is stored of them. The fold runs over each key's times only, packed as longs; repeated
-    times collapse first, so a key's fold is bounded by its distinct seconds.
+    what is stored of them. Equal times of a key collapse first; its times are cut where a step is longer
+    than the window, and what lies between is walked in order as batches pass, with one time in memory.
     """
     stamp = F.unix_micros(F.col("created_at").cast("timestamp"))
     long_text = (F.length("original_text") > STORED_CHARS) | (F.length("translated_text") > STORED_CHARS)
     keyed = log.withColumn("__t", stamp)
     short = keyed.where(~F.coalesce(long_text, F.lit(False)))
     span = minutes * 60_000_000
-    firsts = short.groupBy(*key, "__t").agg(F.min("id").alias("id"))
-    kept = firsts.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("__t", "id"))).alias("s"))
-    fold = F.aggregate(
-        "s",
-        F.struct(F.lit(None).cast("bigint").alias("last"), F.array().cast("array<bigint>").alias("ids")),
-        lambda acc, x: F.when(acc.last.isNull() | (x["__t"] - acc.last > span), F.struct(x["__t"].alias("last"), F.array_append(acc.ids, x.id).alias("ids"))).otherwise(acc),
-    )
-    ids = kept.select(F.explode(fold.ids).alias("id"))
+    firsts = short.groupBy(F.struct(*key).alias("k"), F.col("__t").alias("t")).agg(F.min("id").alias("id"))
+    runs = _runs(firsts, span).withColumn("own", F.xxhash64("k", "run"))
+    kind = log.schema["id"].dataType.simpleString()
+
+    def walk(batches):
+        before, last = None, 0
+        for b in batches:
+            keep = []
+            for own, new, t in zip(b.column("own").to_pylist(), zip(b.column("k").to_pylist(), b.column("run").to_pylist()), b.column("t").to_pylist()):
+                here = (own, new)
+                kept = here != before or t - last > span
+                if kept:
+                    before, last = here, t
+                keep.append(kept)
+            yield pa.RecordBatch.from_arrays([b.column("id").filter(pa.array(keep, pa.bool_()))], names=["id"])
+
+    ordered = runs.repartition("own").sortWithinPartitions("own", "k", "run", "t").select("own", F.to_json("k").alias("k"), F.to_json("run").alias("run"), "t", "id")
+    ids = ordered.mapInArrow(walk, f"id {kind}")
     return log.join(ids, "id", "left_semi").unionByName(keyed.where(F.coalesce(long_text, F.lit(False))).drop("__t"))
 
 

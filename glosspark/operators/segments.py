@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glosspark.functions import patterns as p
@@ -47,9 +47,9 @@ def with_prefix(rows: DataFrame, text: str, pattern: str = p.LIST_PREFIX_TEXT) -
 
 
 def numbered_batches(rows: DataFrame, size: int, *order: str, key: str = "doc_id") -> DataFrame:
-    """Rows of a document numbered from 1 in batches of ``size`` for tagging."""
-    from pyspark.sql import Window
-
+    """Rows of a document numbered from 1 in batches of ``size`` for tagging; tags have three digits."""
+    if not 1 <= size <= 999:
+        raise ValueError("a batch has 1 to 999 rows")
     n = F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1
     return rows.withColumn("batch_no", F.floor(n / size).cast("int")).withColumn("row_no", (n % size + 1).cast("int"))
 

@@ -143,7 +143,7 @@ def translated(rows: DataFrame, column: str, target: str, ask: Provider | str =
     cell = F.lit(in_table) if isinstance(in_table, bool) else in_table
     keep = ~t.any_letter(body) | ~t.translatable(F.col(column)) | t.nonsemantic(F.col(column), cell)
     fixed = F.when(cell, t.constraint_text(F.col(column)))
-    marked = rows.withColumns({"__p": prefix, "__b": body, "__fixed": fixed, "__keep": keep})
+    marked = rows.withColumns({"__p": prefix, "__b": body, "__fixed": fixed, "__keep": F.coalesce(keep, F.lit(True))})
     cores = marked.where("not __keep and __fixed is null").select("__b").distinct()
     masked = cores.withColumn("__m", masking.mask(t.encode_controls(F.col("__b")))).select("__b", F.col("__m.masked").alias("text"), F.col("__m.tokens").alias("__tokens"))
     # a left join: for an inner one the optimizer would test the masked text below the distinct, on every row
@@ -151,7 +151,8 @@ def translated(rows: DataFrame, column: str, target: str, ask: Provider | str =
     said = t.strip(F.col("answer"))
     back = t.decode_controls(masking.unmask(said, F.col("__tokens")))
     done = got.withColumn("__back", back).select("__b", F.when(~masking.lost(said, F.col("__tokens")) & ~masking.leaked(F.col("__back")) & (t.strip(F.col("__back")) != ""), F.col("__back")).alias("__back"))
-    out = marked.join(done, "__b", "left")
+    wanted = ~F.col("__keep") & F.col("__fixed").isNull()  # other rows need no join
+    out = marked.where(wanted).join(done, "__b", "left").unionByName(marked.where(~wanted).withColumn("__back", F.lit(None).cast("string")))
     whole = F.when(F.col("__fixed").isNotNull(), F.col("__fixed")).when(F.col("__keep") | F.col("__back").isNull(), t.text_of(F.col(column))).otherwise(F.concat("__p", "__back"))
     return out.withColumn("translated", whole).drop("__p", "__b", "__fixed", "__keep", "__back")
 

@@ -5,6 +5,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from glosspark.plans.logs import SAVED
 from glosspark.registry import query
 from glosspark.streaming import logs
 
@@ -33,16 +34,16 @@ def stream_daily_quota(spark, sf_dir):
 
 @query(
     "stream_exact_saves", "ST2",
-    """WITH RECURSIVE s AS (SELECT user_id % 20 AS u, event_type AS e, ts, row_number() OVER (PARTITION BY user_id % 20, event_type ORDER BY ts) AS k FROM events),
+    f"""WITH RECURSIVE x AS (SELECT {SAVED[0]} AS u, {SAVED[1]} AS e, ts FROM events), s AS (SELECT *, row_number() OVER (PARTITION BY u, e ORDER BY ts) AS k FROM x),
 w AS (SELECT u, e, k, ts, ts AS last, true AS kept FROM s WHERE k = 1
       UNION ALL SELECT s.u, s.e, s.k, s.ts, CASE WHEN s.ts - w.last > INTERVAL 2 MINUTES THEN s.ts ELSE w.last END, s.ts - w.last > INTERVAL 2 MINUTES
       FROM w JOIN s ON s.u = w.u AND s.e = w.e AND s.k = w.k + 1)
 SELECT u, e, epoch_us(ts) AS t FROM w WHERE kept""",
 )
 def stream_exact_saves(spark, sf_dir):
-    keyed = stream(spark, sf_dir).select((F.col("user_id") % 20).alias("u"), F.col("event_type").alias("e"), "created_at")
+    keyed = stream(spark, sf_dir).select(F.expr(SAVED[0]).alias("u"), F.expr(SAVED[1]).alias("e"), "created_at")
     kept = logs.run_to_table(logs.exact_saves(keyed, ("u", "e")), *_places(spark))
-    names = spark.read.parquet(f"{sf_dir}/events.parquet").select((F.col("user_id") % 20).alias("u"), F.col("event_type").alias("e")).distinct().withColumn("k", F.xxhash64("u", "e"))
+    names = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.expr(SAVED[0]).alias("u"), F.expr(SAVED[1]).alias("e")).distinct().withColumn("k", F.xxhash64("u", "e"))
     return kept.join(names, "k").select("u", "e", "t")
 
 
@@ -55,5 +56,5 @@ def stream_job_state(spark, sf_dir):
 
 @query("stream_saves", "ST2")
 def stream_saves(spark, sf_dir):
-    keyed = stream(spark, sf_dir).select((F.col("user_id") % 20).alias("u"), F.col("event_type").alias("e"), "created_at")
+    keyed = stream(spark, sf_dir).select(F.expr(SAVED[0]).alias("u"), F.expr(SAVED[1]).alias("e"), "created_at")
     return logs.run_to_table(logs.saves(keyed, key=("u", "e")), *_places(spark), mode="append").drop("__batch")

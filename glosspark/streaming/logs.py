@@ -27,23 +27,29 @@ def saves(log: DataFrame, minutes: int = DUPLICATE_MINUTES, key: tuple[str, ...]
 
 
 def _exact(key: tuple, rows: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
-    """Times kept for one key: at least two minutes after the last one kept."""
+    """Times kept for one key: more than two minutes after the last one kept."""
+    if state.hasTimedOut:
+        state.remove()
+        return
+    span = DUPLICATE_MINUTES * 60_000_000
     last = state.get[0] if state.exists else None
     out = []
     for t in sorted(x for b in rows for x in b["t"]):
-        if last is None or t - last > DUPLICATE_MINUTES * 60_000_000:
+        if last is None or t - last > span:
             out.append(t)
             last = t
     if last is not None:
         state.update((last,))
+        state.setTimeoutTimestamp(max((last + span) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
     yield pd.DataFrame({"k": [key[0]] * len(out), "t": out})
 
 
-def exact_saves(log: DataFrame, key: tuple[str, ...] = SAVE_KEY, at: str = "created_at") -> DataFrame:
+def exact_saves(log: DataFrame, key: tuple[str, ...] = SAVE_KEY, at: str = "created_at", delay: str = "2 minutes") -> DataFrame:
     """(k, t): hash of the key and microseconds of saves kept, exactly by the two-minute rule for
-    input whose batches are in order; one long of state for each key."""
-    rows = log.select(F.xxhash64(*key).alias("k"), F.unix_micros(F.col(at).cast("timestamp")).alias("t"))
-    return rows.groupBy("k").applyInPandasWithState(_exact, "k bigint, t bigint", "last bigint", "update", "NoTimeout")
+    input whose batches are in order; one long of state for each key saved in the last minutes, as a key
+    is forgotten once the watermark is two minutes past its last save."""
+    rows = log.withWatermark(at, delay).select(at, F.xxhash64(*key).alias("k"), F.unix_micros(F.col(at).cast("timestamp")).alias("t"))
+    return rows.groupBy("k").applyInPandasWithState(_exact, "k bigint, t bigint", "last bigint", "update", "EventTimeTimeout")
 
 
 def job_state(events: DataFrame) -> DataFrame:
