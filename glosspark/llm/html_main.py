@@ -495,9 +495,21 @@ def _round(pages: DataFrame, before: Found | None) -> DataFrame:
     return valid.groupBy("host").applyInArrow(one, Found.COLUMNS)
 
 
+def _different(pages: DataFrame, broadcast_bytes: int) -> DataFrame:
+    """``pages`` (host, html) without repeats. Only pages whose hash occurs again on their host are dealt out."""
+    marked = pages.withColumn("mark", F.xxhash64("html"))
+    again = Written(marked.groupBy("host", "mark").count().where("count > 1").select("host", "mark"), "copies").df
+    n, size = again.agg(F.count("*"), F.sum(F.octet_length("host") + 16)).first()
+    if not n:
+        return pages
+    again = F.broadcast(again) if size <= broadcast_bytes else again
+    copies = marked.join(again, ["host", "mark"], "left_semi").select("host", "html").distinct()
+    return marked.join(again, ["host", "mark"], "left_anti").select("host", "html").unionByName(copies)
+
+
 def templates(pages: DataFrame, broadcast_bytes: int = BROADCAST_BYTES, rounds: int = ROUNDS) -> Found:
     """Templates of the hosts in ``pages`` (host, html); copies of a page count once."""
-    own = pages.select("host", "html").distinct()
+    own = _different(pages.select("host", "html"), broadcast_bytes)
     found = Found(_round(own, None), "templates", broadcast_bytes)
     for _ in range(rounds - 1):
         again = found.df.where(F.array_size("ahead") > 0).withColumn("known", F.concat("known", F.array("ahead")))
