@@ -51,13 +51,12 @@ for _old, _new in p.SYMBOLS.items():
 _SYMBOLS = rf"regexp_replace(regexp_replace({_SYMBOLS}, '^(\s*)[\x{{E000}}-\x{{F8FF}}]+', '\1•'), '^(\s*[•+\-*◦o])(\S)', '\1 \2')"
 
 
-@query(
-    "prefixes_merged", "W6",
-    _recursive(_PAGES) + rf""", mk AS (SELECT doc_id, page_no, is_table_cell, {_MARKED} FROM bx, (VALUES (0), (1)) v(h)),
-b AS (SELECT *, {_C} AS core, {_SYMBOLS} AS shown, (y0 + y1) / 2 AS mid, greatest(1.0, y1 - y0) AS high, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY seq) AS k FROM mk),
+def merged_prefixes_sql(member):
+    """Marks joined to their text, of boxes in ``mk`` in the order of seq; ``member`` names a box."""
+    return rf"""WITH RECURSIVE b AS (SELECT *, {_C} AS core, {_SYMBOLS} AS shown, (y0 + y1) / 2 AS mid, greatest(1.0, y1 - y0) AS high, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY seq) AS k FROM mk),
 t AS (SELECT a.*, n.k IS NOT NULL AND a.core <> '' AND n.core <> '' AND NOT n.is_table_cell AND regexp_matches(n.line, '\pL') AND (regexp_matches(a.core, '[\x{{E000}}-\x{{F8FF}}]') OR a.core IN {seq.PREFIXES})
   AND abs(a.mid - n.mid) <= 0.65 * greatest(a.high, n.high) AND n.x0 - a.x1 BETWEEN -1.0 AND 24.0 AS pair,
-  n.shown AS nshown, n.x0 AS nx0, n.y0 AS ny0, n.x1 AS nx1, n.y1 AS ny1, n.seq AS nseq
+  n.shown AS nshown, n.x0 AS nx0, n.y0 AS ny0, n.x1 AS nx1, n.y1 AS ny1, n.{member} AS nmember
   FROM b a LEFT JOIN b n ON n.doc_id = a.doc_id AND n.page_no = a.page_no AND n.k = a.k + 1),
 f AS (SELECT doc_id, page_no, k, coalesce(pair, false) AS taken, false AS gone FROM t WHERE k = 1
   UNION ALL SELECT t.doc_id, t.page_no, t.k, coalesce(t.pair, false) AND NOT f.taken, f.taken FROM f JOIN t ON t.doc_id = f.doc_id AND t.page_no = f.page_no AND t.k = f.k + 1),
@@ -65,8 +64,10 @@ o AS (SELECT t.*, taken, {strip_sql('shown')} AS mark, regexp_replace(nshown, '^
 SELECT doc_id, page_no, CAST(row_number() OVER (PARTITION BY doc_id, page_no ORDER BY k) - 1 AS INTEGER) AS seq,
   CASE WHEN taken THEN mark || CASE WHEN mark = '' OR body = '' OR left(body, 1) IN (':', ')', ']', '}}') THEN '' ELSE ' ' END || body ELSE shown END AS text,
   CASE WHEN taken THEN least(x0, nx0) ELSE x0 END AS x0, CASE WHEN taken THEN least(y0, ny0) ELSE y0 END AS y0, CASE WHEN taken THEN greatest(x1, nx1) ELSE x1 END AS x1, CASE WHEN taken THEN greatest(y1, ny1) ELSE y1 END AS y1,
-  CASE WHEN taken THEN [CAST(seq AS INTEGER), CAST(nseq AS INTEGER)] ELSE [CAST(seq AS INTEGER)] END AS members FROM o""",
-)
+  CASE WHEN taken THEN [CAST({member} AS INTEGER), CAST(nmember AS INTEGER)] ELSE [CAST({member} AS INTEGER)] END AS members FROM o"""
+
+
+@query("prefixes_merged", "W6", _recursive(_PAGES) + f", mk AS (SELECT doc_id, page_no, is_table_cell, {_MARKED} FROM bx, (VALUES (0), (1)) v(h)) SELECT * FROM (" + merged_prefixes_sql("seq") + ")")
 def prefixes_merged(spark, sf_dir):
     both = boxes(spark, sf_dir).withColumn("h", F.explode(F.array(F.lit(0), F.lit(1))))
     return seq.per_page(both.selectExpr("doc_id", "page_no", "is_table_cell", *[f"{v} AS {k}" for k, v in _MARKS.items()]), seq.prefixes_merged)

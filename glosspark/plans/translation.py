@@ -103,15 +103,17 @@ def _cut(kind, pattern):
 _ITEM = f"regexp_extract(line, {_q(p.LIST_PREFIX_PDF)}, 1)"
 
 
-@query(
-    "dispatched_parts", "D4",
+_PARTS = (
     _CLASS + f""", pt AS ({_cut('dotted_placeholder', p.LEADER_PDF)}
   UNION ALL {_cut('form_field', p.FORM_SPLIT)}
   UNION ALL SELECT doc_id, page_no, seq, layout_type, 0, {_ITEM}, true FROM r WHERE layout_type = 'list_item'
   UNION ALL SELECT doc_id, page_no, seq, layout_type, 1, substring(line, length({_ITEM}) + 1), false FROM r WHERE layout_type = 'list_item'
-  UNION ALL SELECT doc_id, page_no, seq, layout_type, 0, line, layout_type IN ('page_number', 'whitespace') FROM r WHERE layout_type NOT IN ('dotted_placeholder', 'form_field', 'list_item'))
-SELECT doc_id, page_no, seq, layout_type, CAST(n AS INTEGER) AS part_no, text, NOT kept AND {_WANTED.replace('line', 'text')} AS ask FROM pt""",
+  UNION ALL SELECT doc_id, page_no, seq, layout_type, 0, line, layout_type IN ('page_number', 'whitespace') FROM r WHERE layout_type NOT IN ('dotted_placeholder', 'form_field', 'list_item')),
+dp AS (SELECT doc_id, page_no, seq, layout_type, CAST(n AS INTEGER) AS part_no, text, NOT kept AND {_WANTED.replace('line', 'text')} AS ask FROM pt)"""
 )
+
+
+@query("dispatched_parts", "D4", _PARTS + " SELECT * FROM dp")
 def dispatched_parts(spark, sf_dir):
     return tr.by_type(lay.classified(boxes(spark, sf_dir))).select("doc_id", "page_no", "seq", "layout_type", "part_no", "text", "ask")
 
