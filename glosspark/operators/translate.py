@@ -111,50 +111,68 @@ def mode_of(name: str | None) -> str:
     return MODES.get((name or "none").strip().lower(), "none")
 
 
+def _in_requests(call: Provider, texts: list[str], size: int, *how: str) -> list[str]:
+    """Answers to ``texts`` in requests of ``size``; a request whose answers do not match in number is asked text by text."""
+    out: list[str] = []
+    for i in range(0, len(texts), size):
+        part = texts[i : i + size]
+        got = call(part, *how)
+        out += got if len(got) == len(part) else [call([x], *how)[0] for x in part]
+    return out
+
+
 def answers(texts: DataFrame, target: str, source: str = "auto", context: str = "document", ask: Provider | str = "stub", batch: int = BATCH, concurrency: int | None = None) -> DataFrame:
     """(text, answer) of distinct ``text`` rows."""
-    call = _providers[ask] if isinstance(ask, str) else ask
-    size = max(1, min(batch, MAX_BATCH))
+    call, size = _providers[ask] if isinstance(ask, str) else ask, max(1, min(batch, MAX_BATCH))
 
     def run(batches):
         for b in batches:
-            rows = b.column("text").to_pylist()
-            out = []
-            for i in range(0, len(rows), size):
-                part = rows[i : i + size]
-                got = call(part, source, target, context)
-                if len(got) != len(part):
-                    got = [call([x], source, target, context)[0] for x in part]
-                out += got
+            out = _in_requests(call, b.column("text").to_pylist(), size, source, target, context)
             yield pa.RecordBatch.from_arrays([b.column("text"), pa.array(out, pa.string())], names=["text", "answer"])
 
     few = texts.select("text").distinct()
     return (few.repartition(concurrency) if concurrency else few).mapInArrow(run, "text string, answer string")
 
 
+def _masked_answers(cores: DataFrame, target: str, context: str, ask: Provider | str, concurrency: int | None, source: str = "auto", batch: int = BATCH) -> DataFrame:
+    """(__b, __said) of distinct ``__b``: masked, answered and unmasked in one pass; null where an answer lacks a token."""
+    call, size = _providers[ask] if isinstance(ask, str) else ask, max(1, min(batch, MAX_BATCH))
+
+    def run(batches):
+        for b in batches:
+            masked = [masking.mask_text(x) for x in b.column("coded").to_pylist()]
+            few = list(dict.fromkeys(m for m, _ in masked))
+            said = dict(zip(few, _in_requests(call, few, size, source, target, context)))
+            out = []
+            for m, tokens in masked:
+                answer = (said[m] or "").strip(p.WHITE)
+                out.append(masking.unmask_text(answer, tokens) if all(k in answer for k in tokens) else None)
+            yield pa.RecordBatch.from_arrays([b.column("__b"), pa.array(out, pa.string())], names=["__b", "__said"])
+
+    coded = cores.select("__b", t.encode_controls(F.col("__b")).alias("coded"))
+    return (coded.repartition(concurrency) if concurrency else coded).mapInArrow(run, "__b string, __said string")
+
+
 def translated(rows: DataFrame, column: str, target: str, ask: Provider | str = "stub", context: str = "document", in_table: Column | bool = False, concurrency: int | None = None) -> DataFrame:
     """Adds ``translated``: canonical text of table constraints, untranslatable text as it is, else the answer.
 
     A list prefix stays in front, control characters and masked fragments are put back; an answer
     that lacks a token, leaks one or is blank leaves the source. The rules decide before the
-    provider is asked, so what needs no answer never reaches it.
+    provider is asked, so what needs no answer never reaches it, nor is it dealt out by its text.
     """
     prefix, body = t.list_prefix(F.col(column))
     cell = F.lit(in_table) if isinstance(in_table, bool) else in_table
-    keep = ~t.any_letter(body) | ~t.translatable(F.col(column)) | t.nonsemantic(F.col(column), cell)
+    keep = F.coalesce(~t.any_letter(body) | ~t.translatable(F.col(column)) | t.nonsemantic(F.col(column), cell), F.lit(True))
     fixed = F.when(cell, t.constraint_text(F.col(column)))
-    marked = rows.withColumns({"__p": prefix, "__b": body, "__fixed": fixed, "__keep": F.coalesce(keep, F.lit(True))})
-    cores = marked.where("not __keep and __fixed is null").select("__b").distinct()
-    masked = cores.withColumn("__m", masking.mask(t.encode_controls(F.col("__b")))).select("__b", F.col("__m.masked").alias("text"), F.col("__m.tokens").alias("__tokens"))
-    # a left join: for an inner one the optimizer would test the masked text below the distinct, on every row
-    got = masked.join(answers(masked, target, context=context, ask=ask, concurrency=concurrency), "text", "left")
-    said = t.strip(F.col("answer"))
-    back = t.decode_controls(masking.unmask(said, F.col("__tokens")))
-    done = got.withColumn("__back", back).select("__b", F.when(~masking.lost(said, F.col("__tokens")) & ~masking.leaked(F.col("__back")) & (t.strip(F.col("__back")) != ""), F.col("__back")).alias("__back"))
-    wanted = ~F.col("__keep") & F.col("__fixed").isNull()  # other rows need no join
-    out = marked.where(wanted).join(done, "__b", "left").unionByName(marked.where(~wanted).withColumn("__back", F.lit(None).cast("string")))
+    marked = rows.withColumns({"__p": prefix, "__b": body, "__fixed": fixed, "__keep": keep})
+    wanted = ~F.col("__keep") & F.col("__fixed").isNull()
+    done = _masked_answers(marked.where(wanted).select("__b").distinct(), target, context, ask, concurrency)
+    back = t.decode_controls(F.col("__said"))
+    done = done.withColumn("__back", F.when(F.col("__said").isNotNull() & ~masking.leaked(back) & (t.strip(back) != ""), back)).select(F.col("__b").alias("__key"), "__back")
+    spread = F.concat(F.lit("\0"), F.xxhash64(*[F.col(f"`{c}`") for c, kind in rows.dtypes if not kind.startswith("map")]).cast("string"))  # rows that are not asked: a key that none has
+    out = marked.withColumn("__key", F.when(wanted, F.col("__b")).otherwise(spread)).join(done, "__key", "left")
     whole = F.when(F.col("__fixed").isNotNull(), F.col("__fixed")).when(F.col("__keep") | F.col("__back").isNull(), t.text_of(F.col(column))).otherwise(F.concat("__p", "__back"))
-    return out.withColumn("translated", whole).drop("__p", "__b", "__fixed", "__keep", "__back")
+    return out.withColumn("translated", whole).drop("__p", "__b", "__fixed", "__keep", "__back", "__key")
 
 
 def segment_dictionary(rows: DataFrame, column: str) -> DataFrame:
