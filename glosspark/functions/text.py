@@ -29,6 +29,12 @@ def letters(c: Column, of: str = r"\pL") -> Column:
     return F.regexp_count(text_of(c), F.lit(of))
 
 
+def has_letters(c: Column, least: int, letter: str = r"\pL") -> Column:
+    """Whether there are ``least`` letters; a match ends at the last one needed, where a count reads all."""
+    other = letter.replace("[", "[^", 1) if letter.startswith("[") else letter.replace("p", "P", 1)
+    return text_of(c).rlike(f"(?:{letter}{other}*+){{{least}}}")
+
+
 def vietnamese(c: Column) -> Column:
     return F.lower(text_of(c)).rlike(p.VIETNAMESE)
 
@@ -46,7 +52,7 @@ def translatable(c: Column, least_letters: int = 2, letter: str = r"\pL", skip_v
     """
     core = strip(c)
     out = core.rlike(r"[\pL\p{Nl}\p{No}]") if least_letters == 0 else core != ""
-    out = out & (letters(core, letter) >= least_letters)
+    out = out & has_letters(core, least_letters, letter) if least_letters else out
     return out & ~vietnamese(core) if skip_vietnamese else out
 
 
@@ -57,7 +63,7 @@ def any_letter(c: Column) -> Column:
 def filler(c: Column) -> Column:
     """Blank, four or more fill characters and nothing else, or a long leader with few letters."""
     core = strip(c)
-    few = letters(core) < 5
+    few = ~has_letters(core, 5)
     only = core.rlike(rf"\A{p.FILLER_CHARS}\z")
     return F.when(core == "", True).when(~few, False).when(only, F.length(F.regexp_replace(core, p.SPACE, "")) >= 4).otherwise(core.rlike(r"\.{5,}|_{4,}|-{4,}"))
 
