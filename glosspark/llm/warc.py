@@ -6,7 +6,8 @@ equal (entity tag, compared weakly, else last-modified time); permitted headers
 then replace the stored ones. Everything is DataFrame code.
 
 Shape: times are grouped first, so any number of captures of one URL at one time is one row;
-a URL's times are cut into ``buckets`` ranges, the last response of each earlier range is
+times are cut into ``buckets`` ranges with about as many captures each, so a range has few of any URL,
+in a burst too; the last response of each earlier range is
 carried in, and a window runs within a range only. Payloads are never read.
 """
 
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 #: Headers that describe the stored payload; a not-modified answer never replaces them.
 FIXED_HEADERS = ("content-encoding", "content-length", "content-range", "content-type", "transfer-encoding")
 BUCKETS = 1_024
+#: A range has its share of all captures and two of this many parts of them, at most.
+ACCURACY = 10_000
 
 
 def canonical_url(url: Column) -> Column:
@@ -31,6 +34,14 @@ def _tag(etag: Column) -> Column:
     return F.regexp_replace(F.trim(etag), "^W/", "")
 
 
+def _range_of(ts: Column, cuts: list[int]) -> Column:
+    """How many of the sorted ``cuts`` are at most ``ts``, found by every 32nd first."""
+    if not cuts:
+        return F.lit(0)
+    few = F.size(F.filter(F.lit(cuts[31::32]), lambda c: c <= ts)) if len(cuts) > 31 else F.lit(0)
+    return few * 32 + F.size(F.filter(F.slice(F.lit(cuts), few * 32 + 1, F.lit(32)), lambda c: c <= ts))
+
+
 def resolve_revisits(records: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """Resolve ``revisit`` rows of (record_id, url, ts bigint, kind 'response'|'revisit', etag,
     last_modified, headers map<string,string> with lower-case names).
@@ -49,9 +60,8 @@ def resolve_revisits(records: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     best = full.groupBy("url", "ts").agg(F.max_by(kept, "record_id").alias("r"))
     times = best.select("url", "ts", "r").unionByName(asked.where("url is not null and ts is not null").select("url", "ts", F.lit(None).cast(best.schema["r"].dataType).alias("r")))
     times = times.groupBy("url", "ts").agg(F.max_by("r", F.col("r").isNotNull()).alias("r"))
-    first, last = rows.agg(F.min("ts"), F.max("ts")).first()
-    width = max(1, -(-((last or 0) - (first or 0) + 1) // buckets))
-    placed = times.withColumn("b", F.floor((F.col("ts") - F.lit(first or 0)) / width).cast("int"))
+    cuts = rows.agg(F.percentile_approx("ts", [k / buckets for k in range(1, buckets)], F.lit(ACCURACY))).first()[0] if buckets > 1 else None
+    placed = times.withColumn("b", _range_of(F.col("ts"), sorted(set(cuts or ()))))
     ends_of = placed.where("r is not null").groupBy("url", "b").agg(F.max_by("r", "ts").alias("e"))
     carried = placed.select("url", "b").distinct().join(ends_of, ["url", "b"], "left")
     earlier = Window.partitionBy("url").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)

@@ -72,3 +72,20 @@ def test_rows_without_a_place_are_not_joined(spark):
     df = spark.range(20_000).selectExpr("id AS record_id", "CAST(NULL AS STRING) AS url", "id AS ts", "'revisit' AS kind", "'t' AS etag", "CAST(NULL AS STRING) AS last_modified", "CAST(NULL AS MAP<STRING, STRING>) AS headers")
     got = warc.resolve_revisits(df)
     assert got.where("status = 'orphan'").count() == 20_000
+
+
+def test_ranges_by_their_cuts(spark):
+    rng = random.Random(2)
+    for n in (0, 1, 5, 31, 32, 33, 64, 200):
+        cuts = sorted(rng.sample(range(1000), n))
+        df = spark.range(-1, 1001).select("id", warc._range_of(warc.F.col("id"), cuts).alias("b"))
+        assert all(r.b == sum(c <= r.id for c in cuts) for r in df.collect())
+
+
+def test_a_burst_at_one_url_is_cut(spark):
+    df = spark.range(30_000).selectExpr("id AS record_id", "if(id % 3 = 0, 'hot.example', concat('u', id, '.example')) AS url", "if(id % 3 = 0, 1000000 + id, id * 1000000) AS ts", "if(id % 2 = 0, 'response', 'revisit') AS kind", "'t' AS etag", "CAST(NULL AS STRING) AS last_modified", "CAST(NULL AS MAP<STRING, STRING>) AS headers")
+    got = warc.resolve_revisits(df, 64)
+    assert got.where("url = 'hot.example' and status = 'resolved' and base_id = record_id - 3").count() == 5_000
+    cuts = sorted(set(df.agg(warc.F.percentile_approx("ts", [k / 64 for k in range(1, 64)], warc.F.lit(warc.ACCURACY))).first()[0]))
+    most = df.groupBy("url", warc._range_of(warc.F.col("ts"), cuts)).count().agg({"count": "max"}).first()[0]
+    assert most <= 30_000 / 64 + 2 * 30_000 / warc.ACCURACY + 1
