@@ -435,8 +435,8 @@ def deduce(tokens: list[Token], pages: int, known: tuple[frozenset[str], ...] =
     if slot:
         parts = slot.split("/")
         around = {r: p for k in range(len(parts), 0, -1) if (r := _name(parts[k - 1])) in _ROOTS and (p := "/".join(parts[:k])) in single}  # the outermost of each
-        wider = next((around[r] for r in _ROOTS if r in around), slot)
-        slot, cuts = wider, cuts if wider == slot else frozenset()
+        if around:  # main text as a whole
+            slot, cuts = next(around[r] for r in _ROOTS if r in around), frozenset()
     whole = slot is None or _name(slot) in ("html", "body")  # no element marks the slot off
     blocks = frozenset(f"{t.path} {t.block}" for t in tokens if whole and t.block is not None and t.df >= max(2, SUPPORT * pages))
     return Template(slot, cuts, blocks, known), frozenset(ahead)

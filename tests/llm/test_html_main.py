@@ -179,3 +179,16 @@ def test_article_words_are_not_dropped(spark):
 def test_bytes_that_are_no_text(spark):
     df = spark.sql("SELECT 1L AS page_id, 'u' AS url, CAST(X'3C703E61FF62' AS STRING) AS html")
     assert h.extract_main(df).first().text == "a\ufffdb"
+
+
+def test_an_article_is_never_cut_in_part(spark):
+    def page(n):
+        r = random.Random(n)
+        asked = "".join(f"<div><b>{said(r, 4)}</b> {said(r, 9)}</div>" for _ in range(4))
+        links = f"<div><a href=x>{said(r, 6)}</a></div>"
+        return f"<body><div><a href=/>home</a></div><article><div><h1>{said(r, 5)}</h1><p>{said(r, 60)}</p></div><div>{asked}</div>{links}</article><div>{'<div>' + said(r, 9) + '</div>'}</div></body>"
+
+    rows = [(n, "http://h.example/", page(n)) for n in range(12)]
+    for t in h.extract_main(pages(spark, rows)).collect():
+        inside = rows[t.page_id][2].split("<article>")[1].split("</article>")[0]
+        assert Counter(t.text.split()) == Counter(h.main_text(f"<article>{inside}</article>", None).split())
