@@ -153,7 +153,7 @@ def html_text_nodes(spark, sf_dir):
 
 
 _NODE = r"regexp_extract_all(regexp_replace(html, '(?is)<!--.*?-->|<(script|style|code|pre|noscript)\b.*?</(script|style|code|pre|noscript)>', '<x>', 'g'), '>([^<]+)', 1)"
-for _name, _char in (("&copy;", "©"), ("&middot;", "·"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
+for _name, _char in (("&copy;", "©"), ("&middot;", "·"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&lt", "<"), ("&gt", ">"), ("&amp;", "&"), ("&amp", "&")):  # titles are cut off, so the last may lack its end
     _NODE = f"list_transform({_NODE}, lambda x: replace(x, '{_name}', '{_char}'))"
 
 
