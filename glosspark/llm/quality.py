@@ -23,6 +23,9 @@ from glosspark.llm.learning import training_rows
 
 #: At most so many labelled rows are learned from, with so many chunks of each for the filters.
 TRAIN_ROWS, TRAIN_CHUNKS = 12_000, 8
+#: They are written in files of so many on average at least, whatever the shuffle partitions. Without Hadoop's native
+#: library a file costs two processes (chmod), and each shares the executor JVM's memory until it has begun.
+FILE_ROWS = 500
 DIM, FILTERS, STEP, WIDTH, HALF = 8, 32, 4, 8, 256
 SPAN = 2 * HALF + WIDTH - STEP  # bytes that a chunk's windows touch
 
@@ -143,7 +146,8 @@ def refit(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 50) -
 def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Net:
     """Learn from at most ``train_rows`` labelled rows; the driver holds at most ``TRAIN_CHUNKS``
     chunks of each. Without rows of both labels every score is their rate."""
-    written = Written(training_rows(docs, labels, "quality", train_rows), "quality")
+    files = max(1, -(-train_rows // FILE_ROWS))
+    written = Written(training_rows(docs, labels, "quality", train_rows).coalesce(files), "quality")
 
     def cut(batches):
         for b in batches:

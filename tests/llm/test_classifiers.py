@@ -161,3 +161,21 @@ def test_gradient():
     net = quality.train(chunks, y, steps=60, batch=16)
     p = [net.probability(net.pooled(c.tobytes())) for c in chunks]
     assert (np.array(p) > 0.5).astype(int).tolist() == y.astype(int).tolist()
+
+
+def test_training_rows_are_few_files(spark, docs, monkeypatch):
+    """However many partitions a shuffle has."""
+    files, drop = [], quality.Written.drop
+    monkeypatch.setattr(quality.Written, "drop", lambda self: (files.append(len(self.df.inputFiles())), drop(self)))
+    hot = {"spark.sql.shuffle.partitions": "211", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    df, labels, _ = labelled(spark, docs, "quality", 160)
+    old = {k: spark.conf.get(k) for k in hot}
+    try:
+        for k, v in hot.items():
+            spark.conf.set(k, v)
+        quality.fit(df, labels)
+        quality.fit(df, labels, train_rows=0)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert files[0] <= -(-quality.TRAIN_ROWS // quality.FILE_ROWS) and files[1] <= 1
